@@ -24,7 +24,7 @@ PAGE, MOST = 100, 500
 
 
 @dataclass(frozen=True)
-class Test:
+class FieldTest:
     field: str
     mode: str
     value: str
@@ -33,7 +33,7 @@ class Test:
 
 @dataclass
 class Search:
-    groups: list[list[Test]] = field(default_factory=list)
+    groups: list[list[FieldTest]] = field(default_factory=list)
     earliest: int | None = None
     latest: int | None = None
 
@@ -89,15 +89,16 @@ def parse(text: str | None, now: int | None = None, strict: bool = False) -> Sea
         elif equals and name == "latest":
             out.latest = moment(value, now)
         elif equals and name.removesuffix("!") in FIELDS:
-            group.append(Test(name.removesuffix("!"), *mode_of(value), negated=name.endswith("!")))
+            group.append(FieldTest(name.removesuffix("!"), *mode_of(value), negated=name.endswith("!")))
         elif strict:
             raise ValueError(f"not a test: {word}")
     out.groups = [g for g in [*out.groups, group] if g]
     return out
 
 
-def test_column(test: Test) -> Column:
-    """The test as a Column that is never null."""
+def test_column(test: FieldTest) -> Column:
+    """The test as a Column for a filter. Only negation needs to settle nulls first; plain tests stay as they
+    are, so that the scan can take them."""
     column = F.col(FIELDS[test.field])
     held = {
         "exists": lambda: column.isNotNull(),
@@ -106,8 +107,7 @@ def test_column(test: Test) -> Column:
         "suffix": lambda: F.lower(column).endswith(test.value),
         "contains": lambda: F.lower(column).contains(test.value),
     }[test.mode]()
-    held = F.coalesce(held, F.lit(False))
-    return ~held if test.negated else held
+    return ~F.coalesce(held, F.lit(False)) if test.negated else held
 
 
 def predicate(search: Search) -> Column:
@@ -154,7 +154,7 @@ def compose(text: str = "", include: dict[str, str] | None = None, exclude: dict
     """Search text AND panel filters AND time bounds. The filters bind to every alternative of the text;
     with ``compat`` they are appended to it, so that after OR they bind to the last one only."""
     read = parse(text)
-    panel = [Test(f, "exact", v) for f, v in (include or {}).items()] + [Test(f, "exact", v, True) for f, v in (exclude or {}).items()]
+    panel = [FieldTest(f, "exact", v) for f, v in (include or {}).items()] + [FieldTest(f, "exact", v, True) for f, v in (exclude or {}).items()]
     if not read.groups:
         read.groups = [panel] if panel else []
     elif compat:
@@ -211,11 +211,11 @@ def payload(events: DataFrame, column: str, path: str = "$") -> DataFrame:
 
 
 def tree_column(tree: dict, fields: dict[str, str]) -> Column:
-    """A filter tree of and / or / not / {field, value} as a Column that is never null."""
+    """A filter tree of and / or / not / {field, value} as a Column for a filter."""
     if "field" in tree:
-        return F.coalesce(F.col(fields[tree["field"]]) == tree["value"], F.lit(False))
+        return F.col(fields[tree["field"]]) == tree["value"]
     if "not" in tree:
-        return ~tree_column(tree["not"], fields)
+        return ~F.coalesce(tree_column(tree["not"], fields), F.lit(False))
     name = "and" if "and" in tree else "or"
     out = F.lit(name == "and")
     for part in tree[name]:
