@@ -56,13 +56,15 @@ def estimate(votes: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple
     """Expectation-maximisation for two hidden classes and votes in {-1, 0, 1} independent within a class.
 
     votes: distinct patterns (p, r); weights: how many texts show each. Returns the log odds of the
-    prior and log likelihood ratios (r, 3) of a vote -1, 0, 1, good over bad. Starts from the majority of
-    votes, which also fixes which class is the good one. No patterns: every ratio is 0."""
+    prior and log likelihood ratios (r, 3) of a vote -1, 0, 1, good over bad. Starts from the share of votes
+    for a text among those cast, with about a fifth against it as the border, which also fixes which class
+    is the good one. No patterns: every ratio is 0."""
     r = votes.shape[1]
     if not len(votes):
         return 0.0, np.zeros((r, 3))
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    good = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1)))
+    net = votes.sum(axis=1) / np.maximum(np.abs(votes).sum(axis=1), 1)
+    good = 1 / (1 + np.exp(-20 * (net - 0.6)))
     last = -np.inf
     for _ in range(rounds):
         mass = [weights * (1 - good), weights * good]
