@@ -87,7 +87,7 @@ def train(docs: DataFrame, lang_col: str = "lang") -> LanguageFilter:
             yield counted(lang, keys, n)
 
     def counted(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     parts = known.select(F.col(lang_col).alias("lang"), text_bytes(known, "text").alias("text")).mapInArrow(count, "lang string, gram long, n long")
     counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
