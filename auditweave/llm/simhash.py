@@ -158,7 +158,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, fingerprint, component_id) of each row of ``docs``.
 
     component_id is the smallest id that links of at most ``radius`` bits reach, the own id included.
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A fingerprint that only rows with null ids hold still carries links, so its node lies above all ids.
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = staged(first.select("fp", F.coalesce("low", F.lit((1 << 62)) + F.shiftrightunsigned(F.xxhash64("fp"), 3)).alias("node")), "simhash-nodes")
-    roots = components(links(nodes, radius, bands))
+    roots = components(links(nodes, radius, bands, hot))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return marked.join(named, "fp").select(
         "doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("root") < (1 << 62), F.col("root")).alias("component_id")

@@ -12,7 +12,7 @@ import corpus_pipeline
 from auditweave.llm import mixing, quality_rules
 from auditweave.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.helpers import frame, prose
-from tests.llm.test_simhash import brute_fingerprint, near_copies, roots
+from tests.llm.test_simhash import brute_fingerprint, roots
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,7 +21,8 @@ def documents():
     shared = "\n".join(prose(700 + k, 12) + "." for k in range(4))
     rows = [(k, "\n".join(prose(k * 9 + j, 14) + "." for j in range(8)), "en", f"s{k % 3}") for k in range(60)]
     rows += [(100 + k, f"{shared}\n" + "\n".join(prose(800 + 9 * k + j, 14) + "." for j in range(9)), "en", "s1") for k in range(5)]
-    rows += [(200 + k, text + ".", "en", "s2") for k, text in enumerate(near_copies(5, 4))]
+    copy = ". ".join(prose(5000 + j, 12) for j in range(30)) + "."
+    rows += [(200 + k, copy + " End" * (k > 1), "en", "s2") for k in range(4)]
     rows += [(300 + k, "junk " * 60, "en", "s0") for k in range(5)] + [(400, None, None, None), (401, "", "en", "s0")]
     return rows
 
