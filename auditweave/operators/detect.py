@@ -1,7 +1,6 @@
 """Detection: the catalogue of rules over an events table.
 
-All rules without a burst are evaluated in one scan behind a test of the event name; bursts take their
-candidates from the same kind of scan and share one window. The fact table is alert_events(rule_id,
+All rules take their candidates from one scan behind a test of the event name; bursts share one window. The fact table is alert_events(rule_id,
 record_id, ts_ms, actor); alerts are its aggregate."""
 
 from __future__ import annotations
@@ -10,30 +9,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.functions.columns import actor, actor_or_ip
+from auditweave.functions.staging import staged
 from auditweave.operators import bursts, geo
 from auditweave.operators.objects import object_reads
-from auditweave.plans.catalogue import GEO_RULES, RULES, SEVERITIES, Rule, predicate
+from auditweave.plans.catalogue import GEO_RULES, RULES, SEVERITIES, SPARK, Rule, predicate, sql
 
 SAMPLE = 100
 
 
-def spark_predicate(rule: Rule) -> Column:
-    return F.expr(predicate(rule))
-
-
 def candidates(events: DataFrame, rules: list[Rule], *keep: str | Column) -> DataFrame:
-    """(rule_id, keep...) of the events that satisfy each rule's predicate, from one scan."""
-    names = sorted({name for rule in rules for name in rule.names})
-    wanted = F.col("event_name").isin(names) if names else F.lit(False)
-    for rule in rules:
-        if not rule.names:
-            wanted = wanted | F.coalesce(spark_predicate(rule), F.lit(False))
-    found = F.array_compact(F.array(*[F.when(spark_predicate(rule), F.lit(rule.rule_id)) for rule in rules]))
-    return events.where(wanted).select(F.explode(found).alias("rule_id"), *keep)
+    """(rule_id, keep...) of the events that satisfy each rule's predicate, from one scan.
+
+    A map from event name to rules picks the few rules that an event can concern; only theirs of the payload
+    tests are evaluated. Rules without names are tested on every event."""
+    by_name: dict[str, list[int]] = {}
+    for k, rule in enumerate(rules):
+        for name in rule.names:
+            by_name.setdefault(name, []).append(k)
+    none = F.array().cast("array<int>")
+    named = none
+    if by_name:
+        table = F.create_map(*[x for name, ks in sorted(by_name.items()) for x in (F.lit(name), F.array(*map(F.lit, ks)))])
+        named = F.when(F.col("event_name").isin(sorted(by_name)), F.coalesce(F.try_element_at(table, F.col("event_name")), none)).otherwise(none)
+    nameless = [F.when(F.expr(predicate(rule)), F.lit(k)) for k, rule in enumerate(rules) if not rule.names]
+    picked = F.concat(named, F.array_compact(F.array(*nameless))) if nameless else named
+    rows = events.select("*", F.explode(picked).alias("__rule"))
+    held = F.lit(True)
+    for k, rule in enumerate(rules):
+        if rule.names and rule.where:
+            held = F.when(F.col("__rule") == k, F.coalesce(F.expr(sql(rule.where, SPARK)), F.lit(False))).otherwise(held)
+    ids = F.element_at(F.array(*[F.lit(rule.rule_id) for rule in rules]), F.col("__rule") + 1)
+    return rows.where(held).select(ids.alias("rule_id"), *keep)
 
 
 def key_of(rules: list[Rule]) -> Column:
-    """The burst key of each rule: actor, actor or ip, ip, nothing."""
+    """The burst key of each rule: actor, actor or ip, ip, nothing; null for rules without a burst."""
     by = {"actor": actor(), "actor_or_ip": actor_or_ip(), "ip": F.col("source_ip"), "": F.lit("")}
     out = F.lit(None).cast("string")
     for key, column in by.items():
@@ -43,36 +53,49 @@ def key_of(rules: list[Rule]) -> Column:
     return out
 
 
-def burst_events(events: DataFrame, rules: list[Rule], stretch: int = 1) -> DataFrame:
-    """alert_events of the burst rules. ``stretch`` multiplies every window, for sparse data."""
+def keyed_candidates(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule_id, record_id, ts_ms, actor, key) of the candidates of all ``rules``."""
+    found = candidates(events, rules, "record_id", "ts_ms", "source_ip", "user_arn", "user_name", actor().alias("actor"))
+    return found.withColumn("key", key_of(rules)).drop("source_ip", "user_arn", "user_name")
+
+
+def in_bursts(found: DataFrame, rules: list[Rule], stretch: int = 1) -> DataFrame:
+    """Of keyed_candidates(), those in the bursts of the burst rules."""
     keyed = [rule for rule in rules if rule.burst and rule.burst.key]
     free = [rule for rule in rules if rule.burst and not rule.burst.key]
-    columns = ["record_id", "ts_ms", "source_ip", "user_arn", "user_name", actor().alias("actor")]
-    out = None
+    columns = ["rule_id", "record_id", "ts_ms", "actor", "key"]
+    out = found.where(F.lit(False)).select(*columns)
     if keyed:
-        rows = candidates(events, keyed, *columns).withColumn("key", key_of(keyed)).drop("source_ip", "user_arn", "user_name")
 
         def per_rule(value) -> Column:
             return F.create_map(*[F.lit(x) for rule in keyed for x in (rule.rule_id, value(rule.burst))])[F.col("rule_id")]
 
-        out = bursts.first_bursts(rows, per_rule(lambda b: b.n), per_rule(lambda b: b.minutes * 60_000 * stretch), ["rule_id", "key"], sorted({rule.burst.n for rule in keyed})).select("rule_id", "record_id", "ts_ms", "actor", "key")
+        rows = found.where(F.col("rule_id").isin([rule.rule_id for rule in keyed]))
+        counts = sorted({rule.burst.n for rule in keyed})
+        out = bursts.first_bursts(rows, per_rule(lambda b: b.n), per_rule(lambda b: b.minutes * 60_000 * stretch), ["rule_id", "key"], counts).select(*columns)
     for rule in free:
-        rows = candidates(events, [rule], *columns).drop("source_ip", "user_arn", "user_name")
-        found = bursts.all_bursts(rows, rule.burst.n, rule.burst.minutes * 60_000 * stretch).select("rule_id", "record_id", "ts_ms", "actor", F.lit("").alias("key"))
-        out = found if out is None else out.unionByName(found)
+        rows = found.where(F.col("rule_id") == rule.rule_id)
+        out = out.unionByName(bursts.all_bursts(rows, rule.burst.n, rule.burst.minutes * 60_000 * stretch).select(*columns))
     return out
 
 
+def burst_events(events: DataFrame, rules: list[Rule], stretch: int = 1) -> DataFrame:
+    """alert_events of the burst rules. ``stretch`` multiplies every window, for sparse data."""
+    rules = [rule for rule in rules if rule.burst]
+    return in_bursts(staged(keyed_candidates(events, rules), "burst-candidates"), rules, stretch)
+
+
 def alert_events(events: DataFrame, rules: list[Rule] | None = None, stretch: int = 1) -> DataFrame:
     """(rule_id, record_id, ts_ms, actor, key): every event that every built-in rule flags. key is the burst
-    key, null for rules without a burst."""
+    key, null for rules without a burst. With burst rules, the candidates of all rules are staged, so that
+    the events are scanned once."""
     rules = RULES if rules is None else rules
-    plain = [rule for rule in rules if not rule.burst]
-    out = burst_events(events, rules, stretch)
-    if plain:
-        found = candidates(events, plain, "record_id", "ts_ms", actor().alias("actor"), F.lit(None).cast("string").alias("key"))
-        out = found if out is None else found.unionByName(out)
-    return out
+    found = keyed_candidates(events, rules)
+    if not any(rule.burst for rule in rules):
+        return found
+    found = staged(found, "rule-candidates")
+    plain = found.where(F.col("rule_id").isin([rule.rule_id for rule in rules if not rule.burst]))
+    return plain.unionByName(in_bursts(found, rules, stretch))
 
 
 def geo_alert_events(events: DataFrame, places: DataFrame) -> DataFrame:
@@ -143,7 +166,8 @@ def run(events: DataFrame, places: DataFrame | None = None, custom: list[dict] |
         good, _ = custom_rules.validate(custom)
         found = found.unionByName(custom_rules.alert_events(events, good))
         table = table.unionByName(custom_rules.rule_table(events, good, len(rules) + 2))
-    return assemble(in_range(found, start, end), table)
+    # Assembly reads the flagged events several times.
+    return assemble(staged(in_range(found, start, end), "alert-events"), table)
 
 
 def evidence(events: DataFrame, alert_query: str) -> DataFrame:
