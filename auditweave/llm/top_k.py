@@ -17,7 +17,7 @@ K, EVERY = 20, 20
 #: Vectors in a candidate block and in a query block: bounds on what one task holds.
 BLOCK, ASKED = 8192, 1024
 #: Shares of the lists after which bounds are compared.
-STRIDES = (0.25, 0.5)
+STRIDES = (0.5, 0.8, 0.9)
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -74,7 +74,7 @@ def search_block(q: np.ndarray, x: np.ndarray, skip: np.ndarray, k: int) -> list
             place = np.flatnonzero(open_[at])
             out[going[at]] = place, x[place] @ q[going[at]]
         going = going[~done]
-        if not len(going) or not done.any():
+        if not len(going):
             break
     if len(going):
         score = q[going] @ x.T  # the lists are read to the end: this is each lower and upper bound
