@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,9 @@ WINDOW = 13
 SPARSE = 32
 #: The filter has half a bit for each window up to this many bits (16 MB), in SEGMENTS parts.
 MAX_FILTER_BITS, SEGMENTS, PROBES = 1 << 27, 1024, 3
-#: Windows counted so often are grouped by partial aggregation and a join, the others by one sort.
-HOT = 1000
+#: Windows counted so often (or, of more windows, so often that HOT_KEYS at most can be) are grouped by
+#: partial aggregation ahead of the others, which one sort groups.
+HOT, HOT_KEYS = 1000, 1 << 20
 #: Cells of a slice of the merge, and cells that a task holds before it sends a sketch.
 SLICE_BITS, HELD = 24, 8 << 20
 MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
@@ -193,37 +195,76 @@ def filters(texts: DataFrame, sizes: Sizes, width: int, hot: int) -> tuple[np.nd
     return twice.ravel(), often.ravel()
 
 
+def first_of_hot(texts: DataFrame, sizes: Sizes, often: Broadcast, width: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest document of every window that ``hot`` places or more hold: hash, second hash, id, in order
+    of the hash. At most HOT_KEYS rows, since all windows together are HOT_KEYS times ``hot`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            row, starts, places, found = windows(part.column(1).to_pylist(), hashes, width)
+            kept = sizes.found(often.value, sizes.cells(found), sizes.hot_bits)
+            places, found = places[kept], found[kept]
+            doc = np.searchsorted(starts, places, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(second_hash(row, places, width).astype(np.int32)), part.column(0).take(pa.array(doc))], names=["hi", "lo", "doc_id"])
+
+    counted = texts.mapInArrow(run, "hi long, lo int, doc_id long").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rows = counted.where(F.col("n") >= hot).drop("n").toPandas().sort_values(["hi", "lo"])
+    return tuple(rows[c].to_numpy(np.int64) for c in ("hi", "lo", "first"))
+
+
+def settled(hi: np.ndarray, lo: np.ndarray, doc_id: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows ``table`` knows, and which of those start in a smaller document too."""
+    known, gone = np.zeros(len(hi), bool), np.zeros(len(hi), bool)
+    if len(table[0]):
+        at = np.searchsorted(table[0], hi)
+        while True:  # several second hashes may share a hash
+            inside = at < len(table[0])
+            same = inside & (table[0][np.minimum(at, len(table[0]) - 1)] == hi)
+            hit = same & (table[1][np.minimum(at, len(table[0]) - 1)] == lo)
+            known |= hit
+            gone |= hit & (table[2][np.minimum(at, len(table[0]) - 1)] < doc_id)
+            if not (same & ~hit).any():
+                break
+            at = np.where(same & ~hit, at + 1, len(table[0]))
+    return known, gone
+
+
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, hot: int = HOT, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """(doc_id, tag, starts): the word positions of each document at which windows start whose words also
-    start in a document of smaller id. tag: 24 bits of text hash, for rows that share an id."""
+    start in a document of smaller id. tag: 24 bits of text hash, for rows that share an id.
+
+    Hot windows are settled first, by partial aggregation, and their table goes to the second pass, which
+    sends what they remove straight on; so no group of more than ``hot`` rows is ever sorted together."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     sizes = Sizes(n_bytes // 6, max_filter_bits)
+    hot = max(hot, n_bytes // 2 // HOT_KEYS)  # a text has half as many windows as bytes, at most
     twice, often = (spark.sparkContext.broadcast(x) for x in filters(texts, sizes, width, hot))
+    table = spark.sparkContext.broadcast(first_of_hot(texts, sizes, often, width, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
             column = part.column(1).to_pylist()
             row, starts, places, found = windows(column, hashes, width)
-            cells = sizes.cells(found)
-            kept = sizes.found(twice.value, cells, sizes.segment_bits)
-            places, found, cells = places[kept], found[kept], cells[kept]
+            kept = sizes.found(twice.value, sizes.cells(found), sizes.segment_bits)
+            places, hi = places[kept], found[kept].view(np.int64)
+            lo = second_hash(row, places, width)
             doc = np.searchsorted(starts, places, side="right") - 1
-            tags = np.array([tag_of(text) for text in column])
-            at = (tags[doc] << 32) | (places - starts[doc])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(found.view(np.int64)), pa.array(second_hash(row, places, width).astype(np.int32)), part.column(0).take(pa.array(doc)),
-                pa.array(at), pa.array(sizes.found(often.value, cells, sizes.hot_bits)),
-            ], names=["hi", "lo", "doc_id", "at", "often"])
-
-    sent = texts.mapInArrow(run, "hi long, lo int, doc_id long, at long, often boolean")
-    few = sent.where("not often").withColumn("first", F.min("doc_id").over(Window.partitionBy("hi", "lo"))).where("first < doc_id").select("doc_id", "at")
-    many = sent.where("often")
-    lowest = many.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
-    later = many.join(lowest, ["hi", "lo"]).where("first < doc_id").select("doc_id", "at")
-    every = few.union(later).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
+            doc_id = np.asarray(part.column(0))[doc]
+            at = (np.array([tag_of(text) for text in column])[doc] << 32) | (places - starts[doc])
+            known, gone = settled(hi, lo, doc_id, table.value)
+            sent = ~known | gone
+            # What is settled needs no group: its key is spread by document and place.
+            hi = np.where(gone, finish((doc_id * 31 + at).view(np.uint64)).view(np.int64), hi)
+            yield pa.RecordBatch.from_arrays([pa.array(x[sent]) for x in (hi, lo.astype(np.int32), doc_id, at, gone)], names=["hi", "lo", "doc_id", "at", "gone"])
+
+    sent = texts.mapInArrow(run, "hi long, lo int, doc_id long, at long, gone boolean")
+    first = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
+    later = sent.withColumn("first", first).where(F.col("gone") | (F.col("first") < F.col("doc_id")))
+    every = later.select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
     return every.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
 
 
