@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditweave.llm import byte_bpe, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substring_dedup, top_k
 from auditweave.llm.common import table
+from auditweave.llm.oracles import ORACLE_SQL
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -58,6 +59,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op2_simhash": op2_simhash,
@@ -70,7 +73,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op7_line_dedup": line_dedup.SQL,
-}
