@@ -392,9 +392,19 @@ def _(t):
     return stats.filter_alerts(detect.run(t, stretch=STRETCH), "s3", "medium").where("service = 'S3'").select("rule_id", "matching_count")
 
 
-@over_trail("alert_metadata")
+METADATA = READS + f""", ae AS ({ALL_RULES}),
+keyed AS (SELECT rule_id, record_id, CASE rule_id WHEN 'IA-04' THEN source_ip WHEN 'DI-03' THEN coalesce(user_arn, user_name, source_ip, 'unknown') ELSE actor END AS key FROM ae JOIN trail USING (record_id))
+SELECT rule_id, 'count' AS name, CAST(count(*) AS VARCHAR) AS value FROM ae WHERE rule_id IN ('IA-03', 'PE-01', 'DE-01', 'DI-02') GROUP BY 1
+UNION ALL SELECT rule_id, CASE rule_id WHEN 'IA-04' THEN 'offending_ips' ELSE 'identities' END, string_agg(DISTINCT key, ', ' ORDER BY key) FROM keyed WHERE rule_id IN ('IA-04', 'DI-03', 'EX-03', 'IM-02', 'IM-04', 'IM-05', 'IM-06') GROUP BY 1
+UNION ALL SELECT DISTINCT rule_id, 'threshold', '5' FROM ae WHERE rule_id = 'IA-04'
+UNION ALL SELECT rule_id, 'object_count', CAST(count(*) AS VARCHAR) FROM ae WHERE rule_id = 'EX-03' GROUP BY 1
+UNION ALL SELECT rule_id, 'total_bytes_out', CAST(sum(bytes_out) AS VARCHAR) FROM ae JOIN reads USING (record_id) WHERE rule_id = 'EX-03' GROUP BY 1
+UNION ALL SELECT DISTINCT rule_id, 'total_run_instances', (SELECT CAST(count(*) AS VARCHAR) FROM trail WHERE event_name = 'RunInstances') FROM ae WHERE rule_id = 'IM-01'"""
+
+
+@over_trail("alert_metadata", METADATA)
 def _(t):
-    return detect.metadata(detect.alert_events(t, stretch=STRETCH), t, RULES).select("rule_id", F.to_json("metadata").alias("metadata"))
+    return detect.metadata(detect.alert_events(t, stretch=STRETCH), t, RULES).select("rule_id", F.explode("metadata").alias("name", "value"))
 
 
 @over_trail("alert_evidence", f"SELECT {ROW} FROM trail WHERE event_name IN ('StopLogging', 'DeleteTrail', 'UpdateTrail')")

@@ -43,4 +43,4 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLE_SQL) == {"alert_metadata"}
+    assert set(QUERIES) == set(ORACLE_SQL)
