@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,22 @@ from auditweave.llm.common import slices, text_bytes
 
 WINDOW = 13
 SPARSE = 32
-#: The filter has half a bit for each window up to this many bits (16 MB), in SEGMENTS parts.
-MAX_FILTER_BITS, SEGMENTS, PROBES = 1 << 27, 1024, 3
+#: The filter has half a bit for each window up to this many bits (256 MB), in SEGMENTS parts.
+MAX_FILTER_BITS, SEGMENTS, PROBES = 1 << 31, 1024, 3
 #: Windows counted so often (or, of more windows, so often that HOT_KEYS at most can be) are grouped by
 #: partial aggregation ahead of the others, which one sort groups.
 HOT, HOT_KEYS = 1000, 1 << 20
 #: Cells of a slice of the merge, and cells that a task holds before it sends a sketch.
-SLICE_BITS, HELD = 24, 8 << 20
+SLICE_BITS, HELD = 24, 1 << 20
 MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 U = np.uint64
 
 
 class WordHashes(dict):
-    """64-bit hashes of the words met so far; forgets them when it holds a million."""
+    """64-bit hashes of the words met so far; forgets them when it holds 250,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = made = xxhash.xxh64_intdigest(word)
         return made
@@ -60,7 +61,7 @@ def windows(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndar
     ``width`` words fits, and the hashes of those windows."""
     cut = [text.split() for text in texts]
     lengths = np.array([len(words) for words in cut])
-    row = np.fromiter((hashes[w] for words in cut for w in words), np.uint64, int(lengths.sum()))
+    row = np.fromiter(map(hashes.__getitem__, chain.from_iterable(cut)), np.uint64, int(lengths.sum()))
     starts = np.cumsum(lengths) - lengths
     fit = np.maximum(lengths - width + 1, 0)
     places = np.repeat(starts - (np.cumsum(fit) - fit), fit) + np.arange(int(fit.sum()))
