@@ -1,18 +1,22 @@
 """Reading delivered audit logs: JSON, gzip and zip files of either layout, into the events table.
 
 Files are recognised by content, not by name, so they come in through ``binaryFile``; a vectorised decoder
-unpacks them, and from there on everything is columns. A unit (a file, or an entry of an archive) with one
-bad record is rejected whole and reported; the others go on."""
+unpacks them and cuts them into records, and from there on everything is columns. A unit (a file, or an
+entry of an archive) with one bad record is rejected whole and reported; the others go on."""
 
 from __future__ import annotations
 
+import codecs
 import gzip
 import io
+import json
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,14 @@ from auditweave.schema import COLUMNS, PATHS
 NAMES = r"(?i)\.(json|gz|zip|log)$"
 ENTRY_NAMES = (".json", ".gz", ".log")
 GZIP = b"\x1f\x8b"
-UNITS = "path string, entry int, text string, error string"
+UNITS = "path string, entry int, pos int, layout string, text string, error string"
+UNIT_NAMES = ["path", "entry", "pos", "layout", "text", "error"]
+UNIT_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+Row = tuple[str, int, int | None, str | None, str | None, str | None]
+#: The arrays of the two layouts; the first counts if a document has both.
+LAYOUTS = ("Records", "Events")
+#: Bytes read, and characters passed on, at a time; the most that Spark parses as one record.
+CHUNK, RECORD_BYTES = 1 << 20, 128 << 20
 REQUIRED = ["event_time", "event_source", "event_name", "aws_region"]
 NESTED = {"session_context", "request_parameters", "response_elements", "additional_event_data"}
 
@@ -48,55 +59,193 @@ def in_window(path: Column, start_ms: int | None = None, end_ms: int | None = No
     return path.rlike(r"(?i)\.(json|gz|log)$") & F.coalesce(kept, F.lit(True))
 
 
-def unpack(content: bytes) -> str:
-    return (gzip.decompress(content) if content[:2] == GZIP else content).decode("utf-8")
-
-
-def units_of(path: str, content: bytes) -> Iterator[tuple[str, int, str | None, str | None]]:
-    """The units of a file: itself, or the log entries of an archive."""
+def distinct_members(pairs: list[tuple[str, object]]) -> None:
+    if len({name for name, _ in pairs}) < len(pairs):
+        raise ValueError("a member comes twice")
+
+
+def no_number(text: str) -> None:
+    raise ValueError(f"{text} is no JSON number")
+
+
+VALUES = json.JSONDecoder(object_pairs_hook=distinct_members, parse_int=str, parse_float=str, parse_constant=no_number)
+
+
+class Reader:
+    """A JSON document read by chunks of text: the part that holds the next value, never all of it."""
+
+    def __init__(self, chunks: Iterator[str]) -> None:
+        self.chunks, self.text, self.at, self.ended = chunks, "", 0, False
+
+    def more(self) -> None:
+        """Holds at least twice as much as is left, so that a long value is not scanned at every chunk."""
+        parts = [self.text[self.at :]]
+        wanted, size = max(1, len(parts[0])), 0
+        while size < wanted and not self.ended:
+            chunk = next(self.chunks, None)
+            self.ended = chunk is None
+            parts.append(chunk or "")
+            size += len(parts[-1])
+        self.text, self.at = "".join(parts), 0
+
+    def peek(self) -> str:
+        """The next character but white space; empty at the end."""
+        while True:
+            while self.at < len(self.text):
+                if self.text[self.at] not in " \t\n\r":
+                    return self.text[self.at]
+                self.at += 1
+            if self.ended:
+                return ""
+            self.more()
+
+    def take(self, allowed: str) -> str:
+        found = self.peek()
+        if not found or found not in allowed:
+            raise ValueError(f"one of {allowed} is missing")
+        self.at += 1
+        return found
+
+    def value(self) -> str:
+        """The text of the next value."""
+        self.peek()
+        while True:
+            try:
+                end = VALUES.raw_decode(self.text, self.at)[1]
+                if end < len(self.text) or self.ended:
+                    break
+            except json.JSONDecodeError as error:
+                cut = error.msg.startswith("Unterminated string") or error.pos > len(self.text) - 16
+                if self.ended or not cut:
+                    raise
+            self.more()
+        found, self.at = self.text[self.at : end], end
+        return found
+
+
+def elements(chunks: Iterator[str]) -> Iterator[tuple[str, str | None]]:
+    """(layout, text) of each element of the document's arrays of LAYOUTS; with no text where an array begins."""
+    reader = Reader(chunks)
+    if reader.peek() != "{":
+        reader.value()
+        return
+    reader.take("{")
+    if reader.peek() == "}":
+        return
+    names: list[tuple[str, object]] = []
+    while True:
+        if reader.peek() != '"':
+            raise ValueError("a name is missing")
+        name = json.loads(reader.value())
+        names.append((name, None))
+        reader.take(":")
+        if name in LAYOUTS and reader.peek() == "[":
+            yield name, None
+            reader.take("[")
+            if reader.peek() == "]":
+                reader.take("]")
+            else:
+                while True:
+                    yield name, reader.value()
+                    if reader.take(",]") == "]":
+                        break
+        else:
+            reader.value()
+        if reader.take(",}") == "}":
+            break
+    distinct_members(names)
+
+
+def chunks_of(opened: Callable[[], BinaryIO]) -> Iterator[str]:
+    """The text of a stream, unpacked if it is gzip."""
+    with opened() as stream:
+        packed = stream.read(2) == GZIP
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    with opened() as raw, gzip.GzipFile(fileobj=raw) if packed else raw as stream:
+        while data := stream.read(CHUNK):
+            yield decoder.decode(data)
+    yield decoder.decode(b"", True)
+
+
+def split_unit(path: str, entry: int, opened: Callable[[], BinaryIO]) -> Iterator[Row]:
+    """The records of a unit, then a row without text if it has an error or no records. What an array Records
+    holds is passed on as it is read; an array Events counts only without it, so it takes a second reading."""
+    seen, n, error = set(), 0, None
+    try:
+        for layout in LAYOUTS:
+            for name, text in elements(chunks_of(opened)):
+                seen.add(name)
+                if name == layout and text is not None:
+                    yield path, entry, n, layout, text, None
+                    n += 1
+            if layout in seen or not seen:
+                break
+        error = None if seen else "json: no Records in the document"
+    except (OSError, EOFError, zlib.error) as failure:
+        error = f"gzip: {failure}"
+    except UnicodeDecodeError as failure:
+        error = f"json: {failure}"
+    except (ValueError, RecursionError):
+        error = "json: not a JSON document"
+    if error or not n:
+        yield path, entry, None, None, None, error
+
+
+def records_of(path: str, content: bytes) -> Iterator[Row]:
+    """The records of a file's units: itself, or the log entries of an archive, none of which counts unless
+    all can be read."""
     if not path.lower().endswith(".zip"):
-        try:
-            yield path, 0, unpack(content), None
-        except (OSError, EOFError, zlib.error) as error:
-            yield path, 0, None, f"gzip: {error}"
-        except UnicodeDecodeError as error:
-            yield path, 0, None, f"json: {error}"
+        yield from split_unit(path, 0, lambda: io.BytesIO(content))
         return
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             entries = [name for name in archive.namelist() if name.lower().endswith(ENTRY_NAMES)]
-            texts = [unpack(archive.read(name)) for name in entries]
+            for name in entries:
+                for _ in chunks_of(partial(archive.open, name)):
+                    pass
     except (zipfile.BadZipFile, OSError, EOFError, zlib.error, UnicodeDecodeError) as error:
-        yield path, 0, None, f"zip: {error}"
+        yield path, 0, None, None, None, f"zip: {error}"
         return
-    for k, text in enumerate(texts):
-        yield path, k, text, None
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for k, name in enumerate(entries):
+            yield from split_unit(path, k, partial(archive.open, name))
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """(path, entry, text, error) of each unit."""
+    """(path, entry, pos, layout, text, error): the elements of each unit's Records or Events. A unit's size is
+    not bounded by that of a variant (128 MiB) or a text, since no value holds more than one record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for k in range(batch.num_rows):
+                for row in records_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()):
+                    held.append(row)
+                    size += len(row[4] or "")
+                    if len(held) >= 4096 or size >= CHUNK:
+                        yield packed(held)
+                        held, size = [], 0
+            if held:
+                yield packed(held)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [unit for path, content in zip(frame["path"], frame["content"], strict=True) for unit in units_of(path, bytes(content))]
-            yield pd.DataFrame(rows, columns=["path", "entry", "text", "error"])
+    def packed(rows: list[Row]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), UNIT_TYPES, strict=True)], names=UNIT_NAMES)
 
-    return files.select("path", "content").mapInPandas(run, UNITS)
+    return files.select("path", "content").mapInArrow(run, UNITS)
 
 
 def split_records(units: DataFrame) -> DataFrame:
     """(path, entry, pos, record, error): the records of each unit as JSON texts.
 
     ``{"Records": [...]}`` is tried first, then ``{"Events": [{"CloudTrailEvent": "..."}]}``, of which only
-    the nested text counts. A unit of neither layout gives one row with an error."""
+    the nested text counts. A unit of neither layout gives one row with an error. A single record over the
+    size of a variant (128 MiB) rejects its unit."""
     variant = F.try_parse_json("text")
-    delivered = F.try_variant_get(variant, "$.Records", "array<variant>")
-    exported = F.try_variant_get(variant, "$.Events", "array<variant>")
-    nested = F.transform(exported, lambda e: F.try_variant_get(e, "$.CloudTrailEvent", "string"))
-    texts = F.coalesce(F.transform(delivered, lambda r: F.to_json(r)), nested)
-    error = F.coalesce("error", F.when(variant.isNull(), "json: not a JSON document").when(texts.isNull(), "json: no Records in the document"))
-    found = units.select("path", "entry", texts.alias("texts"), error.alias("error"))
-    return found.select("path", "entry", F.posexplode_outer("texts").alias("pos", "record"), "error")
+    nested = F.try_variant_get(variant, "$.CloudTrailEvent", "string")
+    record = F.when(F.col("layout") == LAYOUTS[0], F.to_json(variant)).otherwise(nested)
+    why = F.when(F.octet_length("text") > RECORD_BYTES, "json: a record of over 128 MiB").otherwise("json: not a JSON document")
+    error = F.coalesce("error", F.when(F.col("text").isNotNull() & variant.isNull(), why))
+    return units.select("path", "entry", "pos", record.alias("record"), error.alias("error"))
 
 
 def typed(records: DataFrame) -> DataFrame:

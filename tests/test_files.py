@@ -58,6 +58,45 @@ def test_loading(spark, tmp_path):
     assert single.count() == 1
 
 
+def test_a_unit_above_the_limit_of_a_variant(spark, tmp_path):
+    """140 MB of JSON, where a variant ends at 128 MiB."""
+    pad = json.dumps("x" * (1 << 20))[1:-1]
+    small = RECORD | {"requestID": "r2"}
+    wide = [RECORD | {"requestParameters": {"key": pad}}] * 140
+    (tmp_path / "delivery.json.gz").write_bytes(gzip.compress(delivered(*wide), 1))
+    (tmp_path / "export.json.gz").write_bytes(gzip.compress(json.dumps({"Events": [{"EventId": "1", "CloudTrailEvent": json.dumps(r)} for r in wide]}).encode(), 1))
+    (tmp_path / "other.json.gz").write_bytes(gzip.compress(json.dumps({"Records": [RECORD, small], "Other": [pad] * 140}).encode(), 1))
+    (tmp_path / "late.json.gz").write_bytes(gzip.compress(json.dumps({"Other": [pad] * 140, "Records": [small, small | {"eventName": 42}]}).encode(), 1))
+    found = ingest.find_files(spark, str(tmp_path))
+    records = ingest.split_records(ingest.decode(found)).groupBy("path").agg(F.count("record").alias("n"), F.count("error").alias("errors"), F.max("pos").alias("last"))
+    assert {r.path.rsplit("/", 1)[1]: (r.n, r.errors, r.last) for r in records.collect()} == {"delivery.json.gz": (140, 0, 139), "export.json.gz": (140, 0, 139), "other.json.gz": (2, 0, 1), "late.json.gz": (2, 0, 1)}
+    events, warnings = ingest.load(found.where(F.col("path").rlike("/(other|late)[.]")))
+    assert sorted(r.request_id for r in events.collect()) == ["r1", "r2"]
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in warnings.collect()] == [("late.json.gz", "json: a record does not fit the delivery format")]
+
+
+def test_records_are_cut_alike_at_any_chunk(monkeypatch):
+    records = [{"a": [1, -2.5e+3, True, None, "]},{\\\" ü漢😀"]}, {}, 17, "text", [[]], {"b": {"c": "\\ud83d\\ude00"}}]
+    texts = {
+        json.dumps({"Records": records}, ensure_ascii=False): records,
+        json.dumps({"x": {"Records": [0]}, "Records": records, "Events": [1]}, indent=2): records,
+        json.dumps({"Events": [{"CloudTrailEvent": "1"}], "Records": records}): records,
+        json.dumps({"Events": records, "y": 12345}): records,
+        json.dumps({"Events": records, "Records": None}): records,
+        '{"Records": [ ]}': [], '{"Records":[],"Events":[1]}': [], '{"Records":[1]} rest': [1],
+    }
+    wrong = {"": "not a", "[1]": "no Records", "12": "no Records", "{}": "no Records", '{"Records":{}}': "no Records", '{"Records":[1,]}': "not a", '{"Records":[1]': "not a", '{"Records":[1],"Records":[2]}': "not a", '{"Records":[{"a":1,"a":2}]}': "not a", '{"Records":[NaN]}': "not a", '{"Records":[1] "x":2}': "not a", "not json": "not a", '{"Records":["': "not a"}
+    for size in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(ingest, "CHUNK", size)
+        for packing in (bytes, gzip.compress):
+            for text, wanted in texts.items():
+                rows = list(ingest.records_of("a.json", packing(text.encode())))
+                assert [json.loads(row[4]) for row in rows if row[4] is not None] == wanted and {row[5] for row in rows} == {None}
+                assert [row[2] for row in rows] == (list(range(len(wanted))) or [None])
+            for text, error in wrong.items():
+                assert list(ingest.records_of("a.json", packing(text.encode())))[-1][5].startswith(f"json: {error}"), text
+
+
 def test_keys_by_date(spark):
     keys = ["x/2024/03/01/a.json.gz", "x/2024/03/02/a.json", "x/2024/13/01/a.json.gz", "x/a.json.gz", "2024/03/03/b.log", "x/2024/03/01/a.txt", "x/2024/3/1/a.gz"]
     frame = spark.createDataFrame([(k,) for k in keys], "path string")
