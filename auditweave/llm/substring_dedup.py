@@ -1,7 +1,7 @@
 """Substring dedup: words covered by a word window that starts in an earlier document too are removed.
 
-A count-min sketch comes first. Every partition sketches its windows as sorted cell numbers, the sketches
-merge slice by slice in Spark, and cells counted twice or more go into a Bloom filter of bounded size. Counts
+A count-min sketch comes first. Every partition sketches its windows as sorted cell numbers with their
+counts, so that a frequent window costs one entry a sketch; the sketches merge slice by slice in Spark, and cells counted twice or more go into a Bloom filter of bounded size. Counts
 only ever overestimate, so a second pass sends every window that repeats, and few others, to an exact
 grouping by 96 bits of hash. The sketch has one row, made wide instead of deep: of SPARSE cells a window
 about one in SPARSE meets a foreign window. Beyond MAX_FILTER_BITS the filter fills up and more windows
@@ -106,6 +106,46 @@ def unpack_gaps(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.uint64) << (U(7) * place.astype(np.uint64)), starts)
 
 
+def pack_cells(cells: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The slices that ascending ``cells`` lie in, and for each the bytes of its distinct cells with their
+    counts: gaps, the first from the slice's begin, and after that of a repeated cell a 0 and its further
+    occurrences. So a cell costs one entry however often it occurs."""
+    at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    distinct, further = cells[at], np.diff(at, append=len(cells)) - 1
+    part = (distinct >> U(SLICE_BITS)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+    gaps = np.diff(distinct, prepend=U(0))
+    gaps[first] = distinct[first] & U((1 << SLICE_BITS) - 1)
+    repeated = np.flatnonzero(further)
+    pairs = np.stack([np.zeros(len(repeated), np.uint64), further[repeated].astype(np.uint64)], 1)
+    data, ends = pack_gaps(np.insert(gaps, np.repeat(repeated + 1, 2), pairs.ravel()))
+    begins = first + 2 * np.searchsorted(repeated, first)
+    limits = np.concatenate([[0], ends[begins[1:] - 1], ends[-1:]])
+    raw = data.tobytes()
+    return part[first], [raw[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)]
+
+
+def unpack_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of one slice, from its begin, and their counts."""
+    numbers = unpack_gaps(data)
+    mark = numbers == 0
+    mark[0] = False  # the slice's first cell
+    at = np.flatnonzero(mark)
+    counts, kept = np.ones(len(numbers), np.int64), ~mark
+    counts[at - 1] += numbers[at + 1].astype(np.int64)
+    kept[at + 1] = False
+    return np.cumsum(numbers[kept]), counts[kept]
+
+
+def add_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of all parts and the sums of their counts."""
+    cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[first], np.add.reduceat(counts[order], first)
+
+
 class Sizes:
     """The widths that follow from the number of windows."""
 
@@ -136,7 +176,7 @@ class Sizes:
 
 
 def sketches(texts: DataFrame, sizes: Sizes, width: int) -> DataFrame:
-    """(slice, cells): each partition's sketch; a slice's cells ascending, once per occurrence, as gaps."""
+    """(slice, cells): each partition's sketches; a slice's distinct cells and counts as of pack_cells()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
@@ -151,14 +191,8 @@ def sketches(texts: DataFrame, sizes: Sizes, width: int) -> DataFrame:
             yield sketch(np.sort(np.concatenate(held)))
 
     def sketch(cells: np.ndarray) -> pa.RecordBatch:
-        part = (cells >> U(SLICE_BITS)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-        gaps = np.diff(cells, prepend=U(0))
-        gaps[first] = cells[first] & U((1 << SLICE_BITS) - 1)
-        data, ends = pack_gaps(gaps)
-        limits = np.concatenate([[0], ends[first[1:] - 1], ends[-1:]])
-        raw = data.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([raw[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary())], names=["slice", "cells"])
+        part, data = pack_cells(cells)
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(data, pa.binary())], names=["slice", "cells"])
 
     return texts.mapInArrow(run, "slice long, cells binary")
 
@@ -168,8 +202,7 @@ def filters(texts: DataFrame, sizes: Sizes, width: int, hot: int) -> tuple[np.nd
     driver gets SEGMENTS rows, of MAX_FILTER_BITS and a 32nd of it in all."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        parts = [np.cumsum(unpack_gaps(data)) for data in group.column("cells").to_pylist()]
-        cells, counts = np.unique(np.concatenate(parts), return_counts=True)
+        cells, counts = add_counts([unpack_cells(data) for data in group.column("cells").to_pylist()])
         cells += U(key[0].as_py()) << U(SLICE_BITS)
         out: dict[str, list] = {"segment": [], "twice": [], "often": []}
         segment = sizes.segments(cells)

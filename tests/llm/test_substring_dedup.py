@@ -83,3 +83,29 @@ def test_settled_tells_second_hashes_apart():
     known, gone = substring_dedup.settled(hi, lo, ids, table)
     assert known.tolist() == [True, True, False, True, False]
     assert gone.tolist() == [True, False, False, True, False]
+
+
+def test_a_frequent_window_costs_one_entry_a_sketch(spark):
+    rows = [(k, "same " * 30_000 + prose(k, 50)) for k in range(8)]
+    sizes = substring_dedup.Sizes(240_000)
+    texts = frame(spark, rows).selectExpr("doc_id", "cast(text as binary) AS text").repartition(4)
+    found = substring_dedup.sketches(texts, sizes, 13).toPandas()
+    assert found["cells"].map(len).sum() < 8 * 50 * 8  # 240,000 windows, 8 * 50 of them distinct
+    hashes = substring_dedup.WordHashes()
+    hot = substring_dedup.windows([b"same " * 13], hashes, 13)[3]
+    often = substring_dedup.filters(texts, sizes, 13, 239_000)[1], substring_dedup.filters(texts, sizes, 13, 240_000)[1]
+    assert [sizes.found(x, sizes.cells(hot), sizes.hot_bits).tolist() for x in often] == [[True], [False]]
+    assert run(spark, rows, hot=1000) == brute(rows)
+
+
+def test_cells_round_trip():
+    rng = np.random.default_rng(6)
+    for spread in (3, 1 << 20, 1 << 30):
+        sent = [np.sort(np.repeat(rng.integers(0, spread, 300), rng.integers(1, 400, 300))).astype(np.uint64) for _ in range(3)]
+        held: dict[int, list] = {}
+        for cells in sent:
+            for part, data in zip(*substring_dedup.pack_cells(cells), strict=True):
+                held.setdefault(int(part), []).append(substring_dedup.unpack_cells(data))
+        merged = {(part << substring_dedup.SLICE_BITS) + int(c): int(n) for part, parts in held.items() for c, n in zip(*substring_dedup.add_counts(parts), strict=True)}
+        values, counts = np.unique(np.concatenate(sent), return_counts=True)
+        assert merged == dict(zip(values.tolist(), counts.tolist(), strict=True))
