@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import map_texts, text_bytes
+from auditweave.llm.common import map_texts, text_bytes, text_key
 
 #: Counts per document, all long.
 COUNTS = [
@@ -55,15 +55,18 @@ def text_counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-def count_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, COUNTS) of each row; one scan, no shuffle. Null texts count as empty, null ids stay."""
+def count_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, COUNTS) of each row, and with ``keyed`` its text_key; one scan, no shuffle. Null texts count as
+    empty, null ids stay."""
 
     def make():
         def step(part: pa.RecordBatch) -> dict:
             rows = [text_counts(text) for text in part.column(1).to_pylist()]
-            return {"doc_id": part.column(0), **dict(zip(COUNTS, map(list, zip(*rows, strict=True)), strict=True))}
+            key = {"text_key": part.column(2)} if keyed else {}
+            return {"doc_id": part.column(0), **dict(zip(COUNTS, map(list, zip(*rows, strict=True)), strict=True)), **key}
 
         return step
 
-    schema = "doc_id long," + ",".join(f"{name} long" for name in COUNTS)
-    return map_texts(docs, [F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text")], schema, make)
+    schema = "doc_id long," + ",".join(f"{name} long" for name in COUNTS) + (",text_key long" if keyed else "")
+    key = [text_key(text_col).alias("text_key")] if keyed else []
+    return map_texts(docs, [F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"), *key], schema, make)

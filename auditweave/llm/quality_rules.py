@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import staged
+from auditweave.llm.common import staged, text_key
 from auditweave.llm.features import count_texts
 
 
@@ -84,13 +84,13 @@ def estimate(votes: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple
     return odds, ratios
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, the base counts, base_failed, quality, kept) of each row.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, the base counts, base_failed, quality, kept) of each row, and with ``keyed`` its text_key.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. quality: the
     posterior probability that the text is good. kept: not base_failed and quality >= 0.5. Null and empty
     texts have no words and fail the base; repeated rows are judged each; an empty table gives none."""
-    counts = staged(count_texts(docs, id_col, text_col), "quality-counts")
+    counts = staged(count_texts(docs, id_col, text_col, keyed), "quality-counts")
     made = rules()
     names = [f"vote_{rule.name}" for rule in made]
     voted = counts.withColumns({f"vote_{rule.name}": F.when(rule.bad, -1).when(rule.good, 1).otherwise(0) for rule in made})
@@ -103,11 +103,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (1 / (1 + F.exp(-total))).alias("quality"), *names,
+        (1 / (1 + F.exp(-total))).alias("quality"), *names, *["text_key"] * keyed,
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, all columns unchanged. Rows with a null id go with the rejected."""
-    good = judge(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(good, id_col, "left_semi")
+    """The rows of ``docs`` that judge() keeps, all columns unchanged. A row is known by its id, which may be
+    null or repeat, and its text, on which alone the verdict depends."""
+    good = judge(docs, id_col, text_col, keyed=True).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(good, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key")), "left_semi")

@@ -50,6 +50,14 @@ def test_junk_goes_and_prose_stays(spark):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept
 
 
+def test_rows_without_an_id_and_rows_that_share_one_are_kept_by_their_text(spark):
+    good = [(k, ". ".join(prose(100 + k * 9 + j, 9).capitalize() for j in range(9)) + ".") for k in range(60)]
+    junk = [(1000 + k, " ".join(w + "***|" for w in prose(k, 80).split())) for k in range(15)]
+    odd = [(None, good[0][1]), (None, good[0][1]), (None, junk[0][1]), (None, None), (3, junk[1][1]), (1003, good[4][1])]
+    out = quality_rules.keep_good(frame(spark, good + junk + odd)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([*good, odd[0], odd[1], odd[5]])
+
+
 def test_estimate_finds_the_accurate_rules():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.8
