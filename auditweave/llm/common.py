@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from auditweave.functions.staging import staged
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one Python step holds at a time; longer single texts form a step of their own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 __all__ = ["STEP_BYTES", "WORD", "arrow_schema", "crc_mod", "map_texts", "slices", "staged", "table", "text_bytes", "text_key"]
@@ -30,14 +32,15 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of a slice stay near STEP_BYTES."""
+    """Cut Arrow batches into runs of rows whose texts have STEP_BYTES together, or one row where that has more."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        rows = max(1, int(n * STEP_BYTES / max(1, batch.column(column).nbytes)))
-        for start in range(0, n, rows):
-            yield batch.slice(start, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def map_texts(docs: DataFrame, columns: list[Column], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:

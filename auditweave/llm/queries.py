@@ -46,8 +46,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
