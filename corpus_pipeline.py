@@ -35,8 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, a row a document."""
-    path = vocabulary_path()
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path), path))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, vocabulary_path()))
 
 
 STAGES = [
