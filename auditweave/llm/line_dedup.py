@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import text_key
+from auditweave.llm.common import staged, text_key
 
 WINDOW = 3
 
@@ -16,14 +16,27 @@ def lines_of(text: Column) -> Column:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, starts): for each document with later occurrences, the sorted line numbers (from 0)
-    at which windows start that also start at a smaller (doc_id, text_key, line) somewhere."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), lines_of(F.col(text_col)).alias("lines"))
-    # Lines hold no line break, so the joined window is unambiguous, and 128 bits of hash stand for it.
-    hashed = F.transform(F.sequence(F.lit(0), F.size("lines") - window), lambda k: F.unhex(F.md5(F.array_join(F.slice("lines", k + 1, window), "\n").cast("binary"))))
-    windows = lines.where(F.size("lines") >= window).select("doc_id", "text_key", F.posexplode(hashed).alias("line", "key"))
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, "key").where(F.struct("doc_id", "text_key", "line") > F.col("first"))
-    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("starts"))
+    at which windows start that also start at a smaller (doc_id, text_key, line) somewhere.
+
+    Windows are counted by partial aggregation of fixed-width rows, so a frequent one costs a row a task. The
+    occurrences then meet only the repeated ones; Spark splits that join where one window is hot."""
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), lines_of(F.col(text_col)).alias("lines"))
+    # 128 bits of hash stand for a window: two hashes of its lines' hashes.
+    hashes = lines.where(F.size("lines") >= window).select(
+        "doc_id", "text_key", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)).alias("b")
+    )
+    keys = F.transform(
+        F.sequence(F.lit(1), F.size("a") - window + 1), lambda k: F.struct(F.xxhash64(F.slice("a", k, window)).alias("k1"), F.xxhash64(F.lit(7), F.slice("b", k, window)).alias("k2"))
+    )
+    windows = staged(hashes.select("doc_id", "text_key", F.posexplode(keys).alias("line", "key")).select("doc_id", "text_key", "line", "key.k1", "key.k2"), "line-windows")
+    # One number in order of (doc_id, text_key): a minimum of numbers needs no sort.
+    order = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + F.shiftrightunsigned("text_key", 2).cast("decimal(19,0)")
+    repeated = windows.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = windows.join(repeated, ["k1", "k2"]).withColumn("later", order > F.col("first"))
+    # In order of window and line, so that a window's first line in this text comes first; rows that repeat fall together.
+    each = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("k1", "k2", "line", "later"))).alias("each"))
+    again = F.filter("each", lambda x, k: x["later"] | ((k > 0) & (F.get("each", k - 1)["k1"] == x["k1"]) & (F.get("each", k - 1)["k2"] == x["k2"])))
+    return each.select("doc_id", "text_key", F.sort_array(F.transform(again, lambda x: x["line"])).alias("starts")).where(F.size("starts") > 0)
 
 
 def cover(starts: Column, lines: Column, window: int = WINDOW) -> Column:
