@@ -1,11 +1,13 @@
 """Substring dedup: words covered by a word window that starts in an earlier document too are removed.
 
-A count-min sketch comes first. Every partition sketches its windows as sorted cell numbers with their
-counts, so that a frequent window costs one entry a sketch; the sketches merge slice by slice in Spark, and cells counted twice or more go into a Bloom filter of bounded size. Counts
-only ever overestimate, so a second pass sends every window that repeats, and few others, to an exact
-grouping by 96 bits of hash. The sketch has one row, made wide instead of deep: of SPARSE cells a window
-about one in SPARSE meets a foreign window. Beyond MAX_FILTER_BITS the filter fills up and more windows
-reach the exact grouping; results stay the same."""
+A count-min prefilter comes first. Every partition sketches its windows: each adds one to a cell in each of
+ROWS rows of counters, kept as distinct cells with their counts, since a partition meets few of all cells.
+The sketches merge by addition, a slice of cells at a time, and cells counted twice or more go into a filter
+of bounded size, one a row. The least of a window's counters never falls short of its count, so a second pass
+that takes the windows with every counter at two or more loses none that repeats. These are grouped exactly,
+by 96 bits of hash; before that, each task settles the occurrences for which it holds an earlier one itself,
+so that a frequent window costs a row a task. Beyond MAX_FILTER_BITS the filters fill up and more windows reach
+the exact grouping; results stay the same."""
 
 from __future__ import annotations
 
@@ -16,7 +18,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +25,12 @@ from pyspark.sql import types as T
 from auditweave.llm.common import slices, text_bytes
 
 WINDOW = 13
-SPARSE = 32
-#: The filter has half a bit for each window up to this many bits (256 MB), in SEGMENTS parts.
-MAX_FILTER_BITS, SEGMENTS, PROBES = 1 << 31, 1024, 3
-#: Windows counted so often (or, of more windows, so often that HOT_KEYS at most can be) are grouped by
-#: partial aggregation ahead of the others, which one sort groups.
-HOT, HOT_KEYS = 1000, 1 << 20
-#: Cells of a slice of the merge, and cells that a task holds before it sends a sketch.
-SLICE_BITS, HELD = 24, 1 << 20
+#: Rows of counters, and cells of a row for each window.
+ROWS, SPARSE = 2, 8
+#: A row's filter has half a bit for each window up to this many bits (128 MB), in SEGMENTS parts.
+MAX_FILTER_BITS, SEGMENTS, PROBES = 1 << 30, 1024, 2
+#: Cells of a slice of the merge, windows that a task sketches at a time, and windows that it settles at a time.
+SLICE_BITS, SKETCHED, HELD = 22, 1 << 20, 1 << 20
 MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 U = np.uint64
 
@@ -150,163 +149,160 @@ class Sizes:
     """The widths that follow from the number of windows."""
 
     def __init__(self, n: int, max_filter_bits: int = MAX_FILTER_BITS) -> None:
-        self.cell_bits = min(56, max(SLICE_BITS, math.ceil(math.log2(SPARSE * max(n, 1)))))
+        self.cell_bits = min(40, max(SLICE_BITS, math.ceil(math.log2(SPARSE * max(n, 1)))))
         self.filter_bits = min(max_filter_bits, max(SEGMENTS * 64, 1 << math.ceil(math.log2(max(n, 2) / 2))))
         self.segment_bits = self.filter_bits // SEGMENTS
-        self.hot_bits = max(64, self.segment_bits // 32)
 
-    def cells(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> U(64 - self.cell_bits)
+    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
+        """The cell of each window in a row of counters."""
+        return (finish(hashes ^ (MIX[2] * U(row))) if row else hashes) >> U(64 - self.cell_bits)
 
-    def bits(self, cells: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    def bits(self, cells: np.ndarray) -> Iterator[np.ndarray]:
         """For each probe, the bit of each cell within its segment."""
         for k in range(PROBES):
-            yield (finish(cells + MIX[k]) % U(width)).astype(np.int64)
+            yield (finish(cells + MIX[k]) % U(self.segment_bits)).astype(np.int64)
 
     def segments(self, cells: np.ndarray) -> np.ndarray:
         return (cells >> U(self.cell_bits - 10)).astype(np.int64)
 
-    def found(self, table: np.ndarray, cells: np.ndarray, width: int) -> np.ndarray:
-        """Whether the filter ``table`` (bytes of all segments) holds each cell."""
-        base, out = self.segments(cells) * width, np.ones(len(cells), bool)
-        for bit in self.bits(cells, width):
-            at = base + bit
-            out &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
+    def repeated(self, filters: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The windows whose counters may all be two or more; filters: the bytes of each row's filter."""
+        left = np.arange(len(hashes))
+        for row in range(ROWS):
+            cells = self.cells(hashes[left], row)
+            base, found = self.segments(cells) * self.segment_bits, np.ones(len(left), bool)
+            for bit in self.bits(cells):
+                at = base + bit
+                found &= (filters[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            left = left[found]
+        return left
 
 
 def sketches(texts: DataFrame, sizes: Sizes, width: int) -> DataFrame:
-    """(slice, cells): each partition's sketches; a slice's distinct cells and counts as of pack_cells()."""
+    """(row, slice, cells): each partition's sketches; a slice's distinct cells and counts as of pack_cells()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), [], 0
         for part in slices(batches):
-            cells = sizes.cells(windows(part.column(1).to_pylist(), hashes, width)[3])
-            held.append(cells)
-            n += len(cells)
-            if n > HELD:
-                yield sketch(np.sort(np.concatenate(held)))
+            found = windows(part.column(1).to_pylist(), hashes, width)[3]
+            held.append(found)
+            n += len(found)
+            if n > SKETCHED:
+                yield from sketch(np.concatenate(held))
                 held, n = [], 0
         if n:
-            yield sketch(np.sort(np.concatenate(held)))
+            yield from sketch(np.concatenate(held))
 
-    def sketch(cells: np.ndarray) -> pa.RecordBatch:
-        part, data = pack_cells(cells)
-        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(data, pa.binary())], names=["slice", "cells"])
+    def sketch(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row in range(ROWS):
+            part, data = pack_cells(np.sort(sizes.cells(found, row)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row, np.int32)), pa.array(part), pa.array(data, pa.binary())], names=["row", "slice", "cells"])
 
-    return texts.mapInArrow(run, "slice long, cells binary")
+    return texts.mapInArrow(run, "row int, slice long, cells binary")
 
 
-def filters(texts: DataFrame, sizes: Sizes, width: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Filters of the cells that the merged sketches count twice or more, and ``hot`` times or more. The
-    driver gets SEGMENTS rows, of MAX_FILTER_BITS and a 32nd of it in all."""
+def filters(texts: DataFrame, sizes: Sizes, width: int) -> np.ndarray:
+    """For each row of counters the filter of the cells that the merged sketches count twice or more. The driver
+    gets ROWS * SEGMENTS rows, of ROWS * MAX_FILTER_BITS in all."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         cells, counts = add_counts([unpack_cells(data) for data in group.column("cells").to_pylist()])
-        cells += U(key[0].as_py()) << U(SLICE_BITS)
-        out: dict[str, list] = {"segment": [], "twice": [], "often": []}
+        cells = cells[counts >= 2] + (U(key[1].as_py()) << U(SLICE_BITS))
         segment = sizes.segments(cells)
+        out: list[tuple[int, int, bytes]] = []
         for s in np.unique(segment).tolist():
-            mine = segment == s
-            out["segment"].append(s)
-            for name, least, bits in (("twice", 2, sizes.segment_bits), ("often", hot, sizes.hot_bits)):
-                marks = np.zeros(bits, np.uint8)
-                for bit in sizes.bits(cells[mine & (counts >= least)], bits):
-                    marks[bit] = 1
-                out[name].append(np.packbits(marks, bitorder="little").tobytes())
-        return pa.table({"segment": pa.array(out["segment"], pa.int64()), "twice": pa.array(out["twice"], pa.binary()), "often": pa.array(out["often"], pa.binary())})
+            marks = np.zeros(sizes.segment_bits, np.uint8)
+            for bit in sizes.bits(cells[segment == s]):
+                marks[bit] = 1
+            out.append((key[0].as_py(), s, np.packbits(marks, bitorder="little").tobytes()))
+        return table(out)
 
     def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        both = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column(c).to_pylist()]).tobytes() for c in ("twice", "often")]
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "twice": pa.array(both[:1], pa.binary()), "often": pa.array(both[1:], pa.binary())})
-
-    schema = "segment long, twice binary, often binary"
-    merged = sketches(texts, sizes, width).groupBy("slice").applyInArrow(merge, schema).groupBy("segment").applyInArrow(join, schema)
-    twice, often = np.zeros((SEGMENTS, sizes.segment_bits // 8), np.uint8), np.zeros((SEGMENTS, sizes.hot_bits // 8), np.uint8)
-    for row in merged.collect():  # SEGMENTS rows of fixed size
-        twice[row.segment] = np.frombuffer(row.twice, np.uint8)
-        often[row.segment] = np.frombuffer(row.often, np.uint8)
-    return twice.ravel(), often.ravel()
-
-
-def first_of_hot(texts: DataFrame, sizes: Sizes, often: Broadcast, width: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest document of every window that ``hot`` places or more hold: hash, second hash, id, in order
-    of the hash. At most HOT_KEYS rows, since all windows together are HOT_KEYS times ``hot`` at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in slices(batches):
-            row, starts, places, found = windows(part.column(1).to_pylist(), hashes, width)
-            kept = sizes.found(often.value, sizes.cells(found), sizes.hot_bits)
-            places, found = places[kept], found[kept]
-            doc = np.searchsorted(starts, places, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(second_hash(row, places, width).astype(np.int32)), part.column(0).take(pa.array(doc))], names=["hi", "lo", "doc_id"])
-
-    counted = texts.mapInArrow(run, "hi long, lo int, doc_id long").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    rows = counted.where(F.col("n") >= hot).drop("n").toPandas().sort_values(["hi", "lo"])
-    return tuple(rows[c].to_numpy(np.int64) for c in ("hi", "lo", "first"))
-
-
-def settled(hi: np.ndarray, lo: np.ndarray, doc_id: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows ``table`` knows, and which of those start in a smaller document too."""
-    known, gone = np.zeros(len(hi), bool), np.zeros(len(hi), bool)
-    if len(table[0]):
-        at = np.searchsorted(table[0], hi)
-        while True:  # several second hashes may share a hash
-            inside = at < len(table[0])
-            same = inside & (table[0][np.minimum(at, len(table[0]) - 1)] == hi)
-            hit = same & (table[1][np.minimum(at, len(table[0]) - 1)] == lo)
-            known |= hit
-            gone |= hit & (table[2][np.minimum(at, len(table[0]) - 1)] < doc_id)
-            if not (same & ~hit).any():
-                break
-            at = np.where(same & ~hit, at + 1, len(table[0]))
-    return known, gone
-
-
-def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, hot: int = HOT, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("twice").to_pylist()])
+        return table([(key[0].as_py(), key[1].as_py(), both.tobytes())])
+
+    def table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+        return pa.Table.from_pylist([dict(zip(kinds.names, x, strict=True)) for x in rows], schema=kinds)
+
+    kinds = pa.schema([("row", pa.int32()), ("segment", pa.int64()), ("twice", pa.binary())])
+    schema = "row int, segment long, twice binary"
+    merged = sketches(texts, sizes, width).groupBy("row", "slice").applyInArrow(merge, schema).groupBy("row", "segment").applyInArrow(join, schema)
+    out = np.zeros((ROWS, SEGMENTS, sizes.segment_bits // 8), np.uint8)
+    for row in merged.collect():  # ROWS * SEGMENTS rows of fixed size
+        out[row.row, row.segment] = np.frombuffer(row.twice, np.uint8)
+    return out.reshape(ROWS, -1)
+
+
+def settle(rows: list[np.ndarray]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """For occurrences (hi, lo, doc_id, tag, start) of windows: those of each window's smallest document here, one
+    row a window and text with its starts, and those that a smaller document here settles, one row a text."""
+    hi, lo, doc_id, tag, start = rows
+    order = np.lexsort((doc_id, lo, hi))
+    hi, lo, doc_id, tag, start = (x[order] for x in (hi, lo, doc_id, tag, start))
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    first = doc_id[np.flatnonzero(new)][np.cumsum(new) - 1]
+    open_ = first == doc_id
+    gone = np.flatnonzero(~open_)
+    gone = gone[np.lexsort((tag[gone], doc_id[gone]))]
+    open_ = np.flatnonzero(open_)
+    return (
+        runs(hi[open_], lo[open_], doc_id[open_], tag[open_], start[open_], False),
+        # What is settled needs no group: its key is spread by document.
+        runs(finish(doc_id[gone].astype(np.uint64)).view(np.int64), tag[gone], doc_id[gone], tag[gone], start[gone], True),
+    )
+
+
+def runs(hi: np.ndarray, lo: np.ndarray, doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray, gone: bool) -> pa.RecordBatch:
+    """A row for each run of equal (hi, lo, doc_id, tag), with the list of its starts."""
+    new = np.ones(len(hi), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (hi, lo, doc_id, tag)], axis=0)
+    at = np.flatnonzero(new)
+    starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(hi)).astype(np.int32)), pa.array(start.astype(np.int32)))
+    columns = [pa.array(hi[at]), pa.array(lo[at].astype(np.int32)), pa.array(doc_id[at]), pa.array(tag[at].astype(np.int32)), starts, pa.array(np.full(len(at), gone))]
+    return pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "doc_id", "tag", "starts", "gone"])
+
+
+def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, max_filter_bits: int = MAX_FILTER_BITS, settled: int = HELD) -> DataFrame:
     """(doc_id, tag, starts): the word positions of each document at which windows start whose words also
     start in a document of smaller id. tag: 24 bits of text hash, for rows that share an id.
 
-    Hot windows are settled first, by partial aggregation, and their table goes to the second pass, which
-    sends what they remove straight on; so no group of more than ``hot`` rows is ever sorted together."""
+    A task sends a window's smallest document that it has met, every ``settled`` windows, and what that settles goes
+    straight to its documents; so no window is grouped from more than a few rows a task."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     sizes = Sizes(n_bytes // 6, max_filter_bits)
-    hot = max(hot, n_bytes // 2 // HOT_KEYS)  # a text has half as many windows as bytes, at most
-    twice, often = (spark.sparkContext.broadcast(x) for x in filters(texts, sizes, width, hot))
-    table = spark.sparkContext.broadcast(first_of_hot(texts, sizes, often, width, hot))
+    twice = spark.sparkContext.broadcast(filters(texts, sizes, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, held, n = WordHashes(), [], 0
         for part in slices(batches):
             column = part.column(1).to_pylist()
             row, starts, places, found = windows(column, hashes, width)
-            kept = sizes.found(twice.value, sizes.cells(found), sizes.segment_bits)
+            kept = sizes.repeated(twice.value, found)
             places, hi = places[kept], found[kept].view(np.int64)
-            lo = second_hash(row, places, width)
             doc = np.searchsorted(starts, places, side="right") - 1
-            doc_id = np.asarray(part.column(0))[doc]
-            at = (np.array([tag_of(text) for text in column])[doc] << 32) | (places - starts[doc])
-            known, gone = settled(hi, lo, doc_id, table.value)
-            sent = ~known | gone
-            # What is settled needs no group: its key is spread by document and place.
-            hi = np.where(gone, finish((doc_id * 31 + at).view(np.uint64)).view(np.int64), hi)
-            yield pa.RecordBatch.from_arrays([pa.array(x[sent]) for x in (hi, lo.astype(np.int32), doc_id, at, gone)], names=["hi", "lo", "doc_id", "at", "gone"])
-
-    sent = texts.mapInArrow(run, "hi long, lo int, doc_id long, at long, gone boolean")
+            tags = np.array([tag_of(text) for text in column], np.int64)
+            held.append((hi, second_hash(row, places, width), np.asarray(part.column(0))[doc], tags[doc], places - starts[doc]))
+            n += len(kept)
+            if n > settled:
+                yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
+                held, n = [], 0
+        if n:
+            yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    sent = texts.mapInArrow(run, "hi long, lo int, doc_id long, tag int, starts array<int>, gone boolean")
     first = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
     later = sent.withColumn("first", first).where(F.col("gone") | (F.col("first") < F.col("doc_id")))
-    every = later.select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
-    return every.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
+    return later.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def tag_of(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 42) & 0xFFFFFF
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, hot: int = HOT, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, max_filter_bits: int = MAX_FILTER_BITS, settled: int = HELD) -> DataFrame:
     """``docs`` with the text replaced by the words that stay, joined by one space, and the columns
     ``__n_words`` and ``__n_removed``.
 
@@ -315,7 +311,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     have none and give an empty text; rows with a null id keep all their words and are nobody's earlier
     document; rows that share an id are not earlier than one another. An empty table gives an empty one.
     All other columns pass through."""
-    found = repeated_starts(docs, id_col, text_col, width, hot, max_filter_bits).withColumnRenamed("doc_id", id_col).withColumnRenamed("tag", "__tag").withColumnRenamed("starts", "__starts")
+    found = repeated_starts(docs, id_col, text_col, width, max_filter_bits, settled).withColumnRenamed("doc_id", id_col).withColumnRenamed("tag", "__tag").withColumnRenamed("starts", "__starts")
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).cast("int")
     joined = docs.withColumn("__tag", tag).join(found, [id_col, "__tag"], "left").select(*docs.columns, "__starts")
     place = docs.columns.index(text_col)

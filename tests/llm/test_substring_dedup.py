@@ -42,9 +42,9 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_hot_windows_and_a_full_filter_change_nothing(spark):
+def test_small_steps_and_a_full_filter_change_nothing(spark):
     rows = passages(2, 50)
-    assert run(spark, rows, hot=3) == brute(rows)
+    assert run(spark, rows, settled=1) == brute(rows)
     assert run(spark, rows, max_filter_bits=substring_dedup.SEGMENTS * 64) == brute(rows)
 
 
@@ -69,20 +69,21 @@ def test_the_filter_loses_no_repeated_window(spark):
     docs = frame(spark, rows)
     sizes = substring_dedup.Sizes(4000)
     texts = docs.selectExpr("doc_id", "cast(text as binary) AS text")
-    twice, _ = substring_dedup.filters(texts, sizes, 13, 1000)
+    filters = substring_dedup.filters(texts, sizes, 13)
     hashes = substring_dedup.WordHashes()
     found = substring_dedup.windows([t.encode() for _, t in rows], hashes, 13)[3]
     values, counts = np.unique(found, return_counts=True)
     repeated = values[counts > 1]
-    assert len(repeated) and sizes.found(twice, sizes.cells(repeated), sizes.segment_bits).all()
+    assert len(repeated) and len(sizes.repeated(filters, repeated)) == len(repeated)
+    assert len(sizes.repeated(filters, values[counts == 1])) < 0.2 * (counts == 1).sum()
 
 
-def test_settled_tells_second_hashes_apart():
-    table = tuple(np.array(x) for x in ([5, 5, 9], [1, 2, 3], [10, 20, 30]))
-    hi, lo, ids = (np.array(x) for x in ([5, 5, 5, 9, 7], [1, 2, 3, 3, 1], [11, 20, 99, 31, 99]))
-    known, gone = substring_dedup.settled(hi, lo, ids, table)
-    assert known.tolist() == [True, True, False, True, False]
-    assert gone.tolist() == [True, False, False, True, False]
+def test_settling_keeps_the_smallest_document_of_each_window():
+    rows = [(5, 1, 11, 3, 0), (5, 1, 10, 3, 7), (5, 1, 10, 3, 9), (5, 2, 99, 4, 1), (5, 1, 12, 3, 2), (9, 3, 12, 3, 4), (9, 3, 11, 3, 5)]
+    sent, gone = (part.to_pylist() for part in substring_dedup.settle([np.array(x) for x in zip(*rows, strict=True)]))
+    assert [(r["hi"], r["lo"], r["doc_id"], r["starts"]) for r in sent] == [(5, 1, 10, [7, 9]), (5, 2, 99, [1]), (9, 3, 11, [5])]
+    assert [(r["doc_id"], r["tag"], r["starts"]) for r in gone] == [(11, 3, [0]), (12, 3, [2, 4])]
+    assert not any(r["gone"] for r in sent) and all(r["gone"] for r in gone)
 
 
 def test_a_frequent_window_costs_one_entry_a_sketch(spark):
@@ -90,12 +91,8 @@ def test_a_frequent_window_costs_one_entry_a_sketch(spark):
     sizes = substring_dedup.Sizes(240_000)
     texts = frame(spark, rows).selectExpr("doc_id", "cast(text as binary) AS text").repartition(4)
     found = substring_dedup.sketches(texts, sizes, 13).toPandas()
-    assert found["cells"].map(len).sum() < 8 * 50 * 8  # 240,000 windows, 8 * 50 of them distinct
-    hashes = substring_dedup.WordHashes()
-    hot = substring_dedup.windows([b"same " * 13], hashes, 13)[3]
-    often = substring_dedup.filters(texts, sizes, 13, 239_000)[1], substring_dedup.filters(texts, sizes, 13, 240_000)[1]
-    assert [sizes.found(x, sizes.cells(hot), sizes.hot_bits).tolist() for x in often] == [[True], [False]]
-    assert run(spark, rows, hot=1000) == brute(rows)
+    assert found["cells"].map(len).sum() < 8 * 50 * 8 * substring_dedup.ROWS  # 240,000 windows, 8 * 50 of them distinct
+    assert run(spark, rows) == brute(rows)
 
 
 def test_cells_round_trip():
