@@ -26,11 +26,11 @@ from auditweave.llm.common import slices, text_bytes
 
 WINDOW = 13
 #: Rows of counters, and cells of a row for each window.
-ROWS, SPARSE = 2, 8
+ROWS, SPARSE = 2, 4
 #: A row's filter has half a bit for each window up to this many bits (128 MB), in SEGMENTS parts.
 MAX_FILTER_BITS, SEGMENTS, PROBES = 1 << 30, 1024, 2
 #: Cells of a slice of the merge, windows that a task sketches at a time, and windows that it settles at a time.
-SLICE_BITS, SKETCHED, HELD = 22, 1 << 20, 1 << 20
+SLICE_BITS, SKETCHED, HELD = 23, 1 << 21, 1 << 20
 MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 U = np.uint64
 
@@ -82,58 +82,41 @@ def second_hash(row: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return (finish(rolled) >> U(32)).astype(np.int64) - (1 << 31)
 
 
-def pack_gaps(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Variable-length bytes, seven bits each, of the numbers; and where each number ends."""
-    size = np.ones(len(gaps), np.int64)
-    for bits in (7, 14, 21, 28, 35):
-        size += gaps >= U(1 << bits)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(6):
-        more = size > k
-        if not more.any():
-            break
-        out[(ends - size)[more] + k] = ((gaps[more] >> U(7 * k)) & U(127)) | np.where(size[more] > k + 1, U(128), U(0))
-    return out, ends
-
-
-def unpack_gaps(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((raw & 127).astype(np.uint64) << (U(7) * place.astype(np.uint64)), starts)
-
-
 def pack_cells(cells: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The slices that ascending ``cells`` lie in, and for each the bytes of its distinct cells with their
-    counts: gaps, the first from the slice's begin, and after that of a repeated cell a 0 and its further
-    occurrences. So a cell costs one entry however often it occurs."""
+    """The slices that ascending ``cells`` lie in, and for each the bytes of its distinct cells with their counts,
+    so that a cell costs one entry however often it occurs.
+
+    Those are: bytes of low bits, how many cells, and how many of them occur again (12 bytes); the low bits of all
+    cells; a bitmap that has, for each further bit of the others, a one for each cell at that value and then a
+    zero (a cell's place there is its high bits plus its rank); and the ranks and further counts of cells that
+    occur again."""
     at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     distinct, further = cells[at], np.diff(at, append=len(cells)) - 1
     part = (distinct >> U(SLICE_BITS)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-    gaps = np.diff(distinct, prepend=U(0))
-    gaps[first] = distinct[first] & U((1 << SLICE_BITS) - 1)
-    repeated = np.flatnonzero(further)
-    pairs = np.stack([np.zeros(len(repeated), np.uint64), further[repeated].astype(np.uint64)], 1)
-    data, ends = pack_gaps(np.insert(gaps, np.repeat(repeated + 1, 2), pairs.ravel()))
-    begins = first + 2 * np.searchsorted(repeated, first)
-    limits = np.concatenate([[0], ends[begins[1:] - 1], ends[-1:]])
-    raw = data.tobytes()
-    return part[first], [raw[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)]
+    out = []
+    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+        inside = (distinct[low:high] & U((1 << SLICE_BITS) - 1)).astype(np.uint32)
+        n, again = high - low, np.flatnonzero(further[low:high])
+        size = 1 if n >> (SLICE_BITS - 11) else 2
+        marks = np.zeros((1 << (SLICE_BITS - 8 * size)) + n, np.uint8)
+        marks[(inside >> np.uint32(8 * size)).astype(np.int64) + np.arange(n)] = 1
+        parts = (np.array([size, n, len(again)], "<u4"), inside.astype("<u2" if size == 2 else "u1"), np.packbits(marks), again.astype("<u4"), further[low:high][again].astype("<u4"))
+        out.append(b"".join([x.tobytes() for x in parts]))
+    return part[first], out
 
 
 def unpack_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The distinct cells of one slice, from its begin, and their counts."""
-    numbers = unpack_gaps(data)
-    mark = numbers == 0
-    mark[0] = False  # the slice's first cell
-    at = np.flatnonzero(mark)
-    counts, kept = np.ones(len(numbers), np.int64), ~mark
-    counts[at - 1] += numbers[at + 1].astype(np.int64)
-    kept[at + 1] = False
-    return np.cumsum(numbers[kept]), counts[kept]
+    size, n, n_again = np.frombuffer(data, "<u4", 3).tolist()
+    n_marks = (1 << (SLICE_BITS - 8 * size)) + n
+    lows = np.frombuffer(data, "<u2" if size == 2 else "u1", n, 12)
+    marks = np.frombuffer(data, np.uint8, -(-n_marks // 8), 12 + n * size)
+    again = np.frombuffer(data, "<u4", 2 * n_again, 12 + n * size + len(marks))
+    highs = np.flatnonzero(np.unpackbits(marks)) - np.arange(n)
+    counts = np.ones(n, np.int64)
+    counts[again[:n_again]] += again[n_again:]
+    return (highs.astype(np.uint64) << U(8 * size)) | lows.astype(np.uint64), counts
 
 
 def add_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,32 +218,37 @@ def filters(texts: DataFrame, sizes: Sizes, width: int) -> np.ndarray:
 
 def settle(rows: list[np.ndarray]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     """For occurrences (hi, lo, doc_id, tag, start) of windows: those of each window's smallest document here, one
-    row a window and text with its starts, and those that a smaller document here settles, one row a text."""
+    row a window and text (hi, lo, doc_id, at: tag and first start, more: its further starts, if any); and those
+    that a smaller document here settles, one row a text (more: the starts, lo: its tag, no at)."""
     hi, lo, doc_id, tag, start = rows
     order = np.lexsort((doc_id, lo, hi))
     hi, lo, doc_id, tag, start = (x[order] for x in (hi, lo, doc_id, tag, start))
-    new = np.ones(len(hi), bool)
-    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    new = changes(hi, lo)
     first = doc_id[np.flatnonzero(new)][np.cumsum(new) - 1]
-    open_ = first == doc_id
-    gone = np.flatnonzero(~open_)
+    kept, gone = np.flatnonzero(first == doc_id), np.flatnonzero(first != doc_id)
     gone = gone[np.lexsort((tag[gone], doc_id[gone]))]
-    open_ = np.flatnonzero(open_)
-    return (
-        runs(hi[open_], lo[open_], doc_id[open_], tag[open_], start[open_], False),
-        # What is settled needs no group: its key is spread by document.
-        runs(finish(doc_id[gone].astype(np.uint64)).view(np.int64), tag[gone], doc_id[gone], tag[gone], start[gone], True),
-    )
+    new = changes(hi[kept], lo[kept], tag[kept])
+    at, more = kept[new], start[kept[~new]]
+    n_more = np.diff(np.flatnonzero(new), append=len(kept)) - 1
+    sent = batch_of(hi[at], lo[at], doc_id[at], pa.array((tag[at] << 32) | start[at]), more, n_more, mask=n_more == 0)
+    new = changes(doc_id[gone], tag[gone])
+    at = gone[new]
+    # What is settled needs no group: its key is spread by document.
+    spread = finish(doc_id[at].astype(np.uint64)).view(np.int64)
+    return sent, batch_of(spread, tag[at], doc_id[at], pa.nulls(len(at), pa.int64()), start[gone], np.diff(np.flatnonzero(new), append=len(gone)), mask=np.zeros(len(at), bool))
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return new
 
 
-def runs(hi: np.ndarray, lo: np.ndarray, doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray, gone: bool) -> pa.RecordBatch:
-    """A row for each run of equal (hi, lo, doc_id, tag), with the list of its starts."""
-    new = np.ones(len(hi), bool)
-    new[1:] = np.any([x[1:] != x[:-1] for x in (hi, lo, doc_id, tag)], axis=0)
-    at = np.flatnonzero(new)
-    starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(hi)).astype(np.int32)), pa.array(start.astype(np.int32)))
-    columns = [pa.array(hi[at]), pa.array(lo[at].astype(np.int32)), pa.array(doc_id[at]), pa.array(tag[at].astype(np.int32)), starts, pa.array(np.full(len(at), gone))]
-    return pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "doc_id", "tag", "starts", "gone"])
+def batch_of(hi: np.ndarray, lo: np.ndarray, doc_id: np.ndarray, at: pa.Array, starts: np.ndarray, lengths: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts.astype(np.int32)), mask=pa.array(mask))
+    return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo.astype(np.int32)), pa.array(doc_id), at, more], names=["hi", "lo", "doc_id", "at", "more"])
 
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, max_filter_bits: int = MAX_FILTER_BITS, settled: int = HELD) -> DataFrame:
@@ -292,10 +280,14 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if n:
             yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    sent = texts.mapInArrow(run, "hi long, lo int, doc_id long, tag int, starts array<int>, gone boolean")
-    first = F.min(F.when(~F.col("gone"), F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
-    later = sent.withColumn("first", first).where(F.col("gone") | (F.col("first") < F.col("doc_id")))
-    return later.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    sent = texts.mapInArrow(run, "hi long, lo int, doc_id long, at long, more array<int>")
+    gone = F.col("at").isNull()
+    first = F.min(F.when(~gone, F.col("doc_id"))).over(Window.partitionBy("hi", "lo"))
+    later = sent.withColumn("first", first).where(gone | (F.col("first") < F.col("doc_id")))
+    tag = F.when(gone, F.col("lo")).otherwise(F.shiftright("at", 32).cast("int"))
+    start = F.when(~gone, F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    each = later.select("doc_id", tag.alias("tag"), start.alias("start"), "more").groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.flatten(F.collect_list("more")).alias("more"))
+    return each.select("doc_id", "tag", F.concat("starts", "more").alias("starts"))
 
 
 def tag_of(text: bytes) -> int:
