@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by no-random-access aggregation over sorted lists.
 
-Candidates lie in blocks; each block has a sorted list a dimension. A block of queries reads the lists from
-the end that its sign favours, a stride at a time. What has been read bounds every score from below (unread
-parts at their worst) and above (unread parts at the list's current value). A query stops when fewer than
-``slack`` candidates have an upper bound at its k-th lower bound, as no other can qualify, and resolves the
-scores of those that remain; one that never stops has read its lists to the end, where both bounds meet."""
+Candidates lie in blocks; each block has a sorted list a dimension. A query reads each list from the end that
+its sign favours, a stride after the other, and adds what it reads to the candidates' known scores; nothing is
+looked up by candidate. A score lies between the known part with the rest at its list's worst value and the
+known part with the rest at its list's current value. A query stops when at most ``slack`` candidates have an
+upper bound at its k-th lower bound, as no outsider can qualify, and resolves the scores of those that remain;
+one that never stops has read its lists to the end, where both bounds meet the score."""
 
 from __future__ import annotations
 
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, EVERY = 20, 20
-#: Vectors in a candidate block and in a query block: bounds on what one task holds.
-BLOCK, ASKED = 8192, 1024
-#: Shares of the lists after which bounds are compared.
-STRIDES = (0.5, 0.8, 0.9)
+#: Vectors in a candidate block (at least, at most) and in a query block: bounds on what one task holds.
+LEAST, BLOCK, ASKED = 1024, 8192, 1024
+#: In how many strides a list is read.
+STRIDES = 8
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -30,7 +31,7 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 def blocks(vectors: DataFrame, rows: int, n: int) -> DataFrame:
     """(block, ids, xs): the vectors dealt by id hash into ``n`` blocks of about ``rows``, as binaries.
 
-    A vector of fewer components than others counts as filled up with zeros; ``dims`` tells how many it has."""
+    A vector of fewer components than others counts as filled up with zeros; ``dims`` tells how many a block has."""
 
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids = np.asarray(group.column("vec_id").combine_chunks())
@@ -48,27 +49,45 @@ def frame(values: np.ndarray, dims: int) -> np.ndarray:
     return np.pad(values, ((0, 0), (0, dims - values.shape[1])))
 
 
-def search_block(q: np.ndarray, x: np.ndarray, skip: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def search_block(q: np.ndarray, x: np.ndarray, skip: np.ndarray, k: int, strides: int = STRIDES) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each row of q the places in x and the scores of its k best (all ties of the k-th included).
 
-    skip: per query, the place in x that is the query itself, or -1."""
+    skip: per query, the place in x that is the query itself, or -1. Scores that a long can't hold are refused."""
     m, n = len(q), len(x)
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] < 1 << 24:
-        q, x = q.astype(np.float32), x.astype(np.float32)  # sums of whole numbers below 2 ** 24 stay exact
-    lists = np.sort(x, axis=0)
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+    if most >= 1 << 62:
+        raise OverflowError("scores beyond 64 bits")
+    # Sums of whole numbers stay exact below 2 ** 24, 2 ** 53 and 2 ** 63.
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    q, x = q.astype(kind), x.astype(kind)
+    least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)
+    place_of = np.empty_like(order)
+    np.put_along_axis(place_of, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+    # Positive parts read from the top of a list, negative ones from its bottom.
     ends = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
-    out: list = [None] * m
+    deep = np.concatenate([n - 1 - place_of, place_of], axis=1)
+    both = np.concatenate([x, x], axis=1)
+    worst = np.concatenate([lists[0], lists[-1]]) if n else np.zeros(ends.shape[1], kind)
+    known = np.zeros((m, n), kind)
+    out: list = [(np.zeros(0, int), np.zeros(0, kind))] * m
     going = np.arange(m)
-    slack = max(4 * k, n // 64)
-    for part in STRIDES if n > 4 * slack else ():
-        depth = max(1, int(part * n))
-        top, bottom = lists[n - depth], lists[depth - 1]
-        lower = np.concatenate([np.where(x >= top, x, lists[0]), np.where(x <= bottom, x, lists[-1])], axis=1)
-        low = ends[going] @ lower.T
-        low[np.arange(len(going))[skip[going] >= 0], skip[going][skip[going] >= 0]] = -np.inf
-        bar = np.partition(low, n - k, axis=1)[:, n - k]
-        upper = np.concatenate([np.maximum(x, top), np.minimum(x, bottom)], axis=1)
-        open_ = ends[going] @ upper.T >= bar[:, None]
+    slack, read = min(n, max(2 * k, n // 128)), 0
+    edges = np.unique(np.linspace(0, n, strides + 1).astype(int))[1:]
+    for until in edges.tolist():
+        stride = np.where((deep >= read) & (deep < until), both, 0)
+        known[going] += ends[going] @ stride.T
+        read = until
+        if until == n:
+            break
+        unread = (deep >= until).astype(kind)
+        current = np.concatenate([lists[n - until], lists[until - 1]])
+        low = known[going] + (ends[going] * worst) @ unread.T
+        mine = np.flatnonzero(skip[going] >= 0)
+        low[mine, skip[going][mine]] = least
+        bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(going), least)
+        open_ = known[going] + (ends[going] * current) @ unread.T >= bar[:, None]
         done = open_.sum(axis=1) <= slack
         for at in np.flatnonzero(done):
             place = np.flatnonzero(open_[at])
@@ -76,10 +95,8 @@ def search_block(q: np.ndarray, x: np.ndarray, skip: np.ndarray, k: int) -> list
         going = going[~done]
         if not len(going):
             break
-    if len(going):
-        score = q[going] @ x.T  # the lists are read to the end: this is each lower and upper bound
-        for at, i in enumerate(going):
-            out[i] = np.arange(n), score[at]
+    for i in going:
+        out[i] = np.arange(n), known[i]  # the lists are read to the end
     for i, (place, score) in enumerate(out):
         mine = place != skip[i]
         place, score = place[mine], score[mine]
@@ -94,34 +111,45 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     """(query_id, rank, vec_id, score): for each vector whose id ``every`` divides, the ``k`` other vectors of
     largest integer inner product (all, if fewer), ties to the smaller id.
 
-    Vectors that are null or hold null or non-finite components take no part, nor do null ids; rows that
-    repeat an id are candidates each, and as queries answer once. Query blocks meet candidate blocks by an
-    equi-join on the block number; a block keeps k rows a query, and the k best of those are the result.
-    An empty table gives no rows."""
+    Vectors that are null or hold null or non-finite components take no part, nor do null ids. Rows that
+    repeat an id are candidates each; as a query such an id answers once, with the least of its vectors, and
+    leaves out one row that equals it. Vectors of fewer components than others count as filled up with zeros.
+    A task gets one candidate block and then the query blocks, one after the other; it keeps k rows a query,
+    and the k best of those are the result. An empty table gives no rows."""
     whole = whole_vectors(vectors, id_col, vector_col)
     n = whole.count()
-    parts, asks = max(1, -(-n // block)), max(1, -(-n // (every * asked)))
-    queries = whole.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    candidates = blocks(whole, block, parts)
-    sent = blocks(queries, asked, asks).withColumnRenamed("block", "ask").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = candidates.join(sent.select("block", "ask", F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), F.col("dims").alias("q_dims")), "block")
+    size = min(block, max(LEAST, n // (4 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    parts, asks = max(1, -(-n // size)), max(1, -(-n // (every * asked)))
+    queries = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    candidates = blocks(whole, size, parts).select("block", F.lit(-1).alias("ask"), "ids", "xs", "dims")
+    sent = blocks(queries, asked, asks).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("at"), F.col("block").alias("ask"), "ids", "xs", "dims").withColumnRenamed("at", "block")
 
     def answer(batches):
+        held: tuple | None = None
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                dims = max(row["dims"], row["q_dims"])
-                x, q = (frame(np.frombuffer(row[c], "<f8").reshape(-1, row[d]), dims) for c, d in (("xs", "dims"), ("q_xs", "q_dims")))
-                at = np.searchsorted(ids, q_ids)
-                skip = np.where(ids[np.minimum(at, len(ids) - 1)] == q_ids, at, -1)
-                found = search_block(q, x, skip, k) if len(ids) > 1 or (skip < 0).any() else [(np.zeros(0, int), np.zeros(0))] * len(q)
-                kept: list[tuple[np.ndarray, ...]] = []
-                for i, (place, score) in enumerate(found):
-                    best = np.lexsort((ids[place], -score))[:k]
-                    kept.append((np.full(len(best), q_ids[i]), ids[place[best]], score[best].astype(np.int64)))
-                columns = [np.concatenate(c) for c in zip(*kept, strict=True)] if kept else [np.zeros(0, np.int64)] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = pairs.repartition(parts * asks, "block", "ask").mapInArrow(answer, "query_id long, vec_id long, score long")
+                ids, xs = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["xs"], "<f8").reshape(-1, row["dims"])
+                if row["ask"] < 0:
+                    held = row["block"], ids, xs
+                elif held and held[0] == row["block"]:
+                    yield best(ids, xs, *held[1:])
+
+    def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        dims = max(q.shape[1], x.shape[1])
+        q, x = frame(q, dims), frame(x, dims)
+        skip = np.full(len(q), -1)
+        low, high = np.searchsorted(ids, q_ids), np.searchsorted(ids, q_ids, side="right")
+        for i in np.flatnonzero(high > low):
+            same = np.flatnonzero((x[low[i] : high[i]] == q[i]).all(axis=1))
+            skip[i] = low[i] + same[0] if len(same) else -1
+        columns: list[list[np.ndarray]] = [[], [], []]
+        for i, (place, score) in enumerate(search_block(q, x, skip, k)):
+            top = np.lexsort((ids[place], -score))[:k]
+            for column, values in zip(columns, (np.full(len(top), q_ids[i]), ids[place[top]], score[top]), strict=True):
+                column.append(values.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["query_id", "vec_id", "score"])
+
+    dealt = candidates.unionByName(sent).repartition(parts, "block").sortWithinPartitions("block", "ask")
+    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,3 +57,28 @@ def test_bounds_stop_early_and_stay_exact():
         exact = x @ q[i]
         assert set(place) == set(np.flatnonzero(exact >= np.sort(exact)[-10]))
         assert (score == exact[place]).all()
+
+
+def test_repeated_ids(spark):
+    vectors = vectors_of(7, 50)
+    least, other = sorted([[0.5] * 8, [-0.5, *[2.0] * 7]])
+    twice = [*vectors, (60, least), (60, other), (60, least)]
+    found = [tuple(r) for r in top_k.top_k(frame(spark, twice), k=60).collect() if r.query_id == 60]
+    x = {i: [np.floor(np.array(v, np.float32).astype(float) * 64) for j, v in twice if j == i] for i in {j for j, _ in twice}}
+    q = min(x[60], key=list)
+    left = [(i, v) for i, each in x.items() for v in each]
+    left.pop(next(n for n, (i, v) in enumerate(left) if i == 60 and (v == q).all()))
+    want = sorted((-int(v @ q), i) for i, v in left)
+    assert [(r[3], r[2]) for r in sorted(found, key=lambda r: r[1])] == [(-s, i) for s, i in want]
+
+
+def test_every_number_of_strides_and_size_of_number_is_exact():
+    rng = np.random.default_rng(8)
+    for scale in (4, 1 << 20, 1 << 28):
+        x, q = np.floor(rng.normal(size=(500, 5)) * scale), np.floor(rng.normal(size=(9, 5)) * scale)
+        exact = np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], dtype=object)
+        for strides in (1, 3, 8, 600):
+            for i, (place, score) in enumerate(top_k.search_block(q, x, np.full(9, -1), 10, strides)):
+                bar = sorted(exact[i])[-10]
+                assert set(place.tolist()) == {n for n, s in enumerate(exact[i]) if s >= bar}
+                assert [int(s) for s in score] == [exact[i][n] for n in place]
