@@ -48,21 +48,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies: floor(rate) and one hash-seeded draw more; taken: copies times size. The draw depends on id,
     text and seed alone, so reruns agree and rows that repeat an id and its text share it. Null sources
     form one source, ordered last; null ids draw by their text; an empty table gives no rows."""
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     text_id = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    sized = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_id.alias("text_key"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    sized = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_id.alias("text_key"), F.col(source_col).alias("source"), size_of(text_col).alias("size")), "mix-sizes")
+    joined = sized.join(rates(sized, weights, most), [F.coalesce("source", F.lit("")) == F.col("__source"), F.col("source").isNull() == F.col("__none")])
+    drawn = joined.withColumn("copies", copies(F.col("__rate"), F.struct("doc_id", "text_key"), seed))
+    return drawn.select("doc_id", "text_key", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.col("__rate").alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def size_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(__source, __none, __size, __target, __rate), a row a source of ``sized`` (source, size). The rows are
+    written first, so that their measured size decides whether a join broadcasts them or sorts and splits."""
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    named = sources.select(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), "source_size", "target")
-    keyed = sized.withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = keyed.join(named, ["key", "none"]).withColumn("rate", rate)
-    drawn = joined.withColumn("copies", copies(F.col("rate"), F.struct("doc_id", "text_key"), seed))
-    return drawn.select("doc_id", "text_key", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return staged(
+        sources.select(F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), rate.alias("__rate")), "mix-rates"
+    )
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as mix() says, all columns unchanged."""
-    often = mix(docs, id_col, text_col, source_col, seed=seed).groupBy("doc_id", "text_key").agg(F.first("copies").alias("__copies")).where("__copies > 0")
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
-    taken = keyed.join(often.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_key").alias("__key"), "__copies"), ["__id", "__key"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The mixed corpus: each row of ``docs`` as often as mix() says, all columns unchanged.
+
+    Rows meet only the rate of their source, and draw by their own id and text; so null ids and rows that
+    repeat an id draw as in mix(), each once. Null and empty texts come by the rate of their source; an empty
+    table gives an empty one."""
+    each = rates(docs.select(F.col(source_col).alias("source"), size_of(text_col).alias("size")))
+    joined = docs.join(each, [F.coalesce(docs[source_col], F.lit("")) == F.col("__source"), docs[source_col].isNull() == F.col("__none")])
+    key = F.struct(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_key"))
+    often = joined.withColumn("__copies", copies(F.col("__rate"), key, seed)).where("__copies > 0")
+    return often.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

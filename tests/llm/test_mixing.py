@@ -73,3 +73,13 @@ def test_emitted_rows(spark):
     assert often == {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
     twins = mixing.emit(frame(spark, [(1, "a b", None, "s"), (1, "a b", None, "s"), (None, "c d", None, "s")])).collect()
     assert Counter(r.doc_id for r in twins) == {1: 2, None: 1}
+
+
+def test_null_and_repeated_ids_are_emitted_each_once(spark):
+    rows = [(-1, "a b c", None, "s"), (None, "a b c", None, "s"), (None, "a b c", None, None), (2, None, None, "s"), (2, "", None, "t")]
+    docs = frame(spark, rows)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixing.emit(docs).collect()) == +want
+    assert mixing.emit(frame(spark, [])).count() == 0
