@@ -130,10 +130,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, pair_rounds: int = 10,
 
 
 def train(counts: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fit on the labelled rows of count_texts() whose id hash is smallest, ``max_rows`` at most."""
+    """Fit on the labelled rows of count_texts() whose id hash is smallest, ``max_rows`` at most.
+
+    A share of the hashes that holds a little more than those is cut out first, so that what reaches the driver
+    depends neither on the number of rows nor on that of partitions."""
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
-    rows = counts.join(known, "doc_id").select(*COUNTS, "label", F.xxhash64("doc_id").alias("at"))
-    sample = rows.orderBy("at", "label", *COUNTS).limit(max_rows).toPandas()
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    rows = staged(counts.join(known, "doc_id").select(*COUNTS, "label", draw.alias("at")), "quality-labelled")
+    few = rows.where(F.col("at") <= 1.2 * max_rows / max(1, rows.count()))
+    sample = few.orderBy("at", "label", *COUNTS).limit(max_rows).toPandas()
     return fit(shape(sample[COUNTS].to_numpy()), sample["label"].to_numpy())
 
 
