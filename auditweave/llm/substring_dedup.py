@@ -231,6 +231,7 @@ def settle(rows: list[np.ndarray]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     at, more = kept[new], start[kept[~new]]
     n_more = np.diff(np.flatnonzero(new), append=len(kept)) - 1
     sent = batch_of(hi[at], lo[at], doc_id[at], pa.array((tag[at] << 32) | start[at]), more, n_more, mask=n_more == 0)
+    sent = sent.take(pa.array(np.argsort(order[at])))  # in the order of the texts, as that is shuffled in fewer bytes
     new = changes(doc_id[gone], tag[gone])
     at = gone[new]
     # What is settled needs no group: its key is spread by document.
