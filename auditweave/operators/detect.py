@@ -118,8 +118,9 @@ def in_range(found: DataFrame, start: int | None, end: int | None) -> DataFrame:
 
 
 def assemble(found: DataFrame, rules: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """alerts: one row a rule with events - full count, the ``sample`` smallest ids, who offended - gravest
-    first, then in catalogue order."""
+    """alerts: one row a rule with events - full count, the ``sample`` smallest ids and the ``sample`` first
+    of those who offended (alert_events has all ids, metadata all offenders) - gravest first, then in
+    catalogue order."""
     counts = found.groupBy("rule_id").agg(F.count("*").alias("matching_count"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
     nth = F.row_number().over(Window.partitionBy("rule_id").orderBy("record_id"))
     ids = found.select("rule_id", "record_id").withColumn("nth", nth).where(F.col("nth") <= sample)

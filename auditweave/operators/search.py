@@ -8,6 +8,7 @@ it a prefix, suffix or containment test without regard to ASCII case; a lone ``*
 from __future__ import annotations
 
 import re
+import string
 import time
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -23,6 +24,10 @@ PRESETS = {"1h": 3_600_000, "6h": 21_600_000, "24h": 86_400_000, "7d": 604_800_0
 PAGE, MOST = 100, 500
 
 
+def ascii_lower(text: str) -> str:
+    return text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+
+
 @dataclass(frozen=True)
 class FieldTest:
     field: str
@@ -64,11 +69,11 @@ def mode_of(value: str) -> tuple[str, str]:
     if value in ("*", "**"):
         return "exists", ""
     if len(value) > 2 and value[0] == value[-1] == "*":
-        return "contains", value[1:-1].lower()
+        return "contains", ascii_lower(value[1:-1])
     if value.endswith("*"):
-        return "prefix", value[:-1].lower()
+        return "prefix", ascii_lower(value[:-1])
     if value.startswith("*"):
-        return "suffix", value[1:].lower()
+        return "suffix", ascii_lower(value[1:])
     return "exact", value
 
 
@@ -100,12 +105,13 @@ def test_column(test: FieldTest) -> Column:
     """The test as a Column for a filter. Only negation needs to settle nulls first; plain tests stay as they
     are, so that the scan can take them."""
     column = F.col(FIELDS[test.field])
+    folded = F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
     held = {
         "exists": lambda: column.isNotNull(),
         "exact": lambda: column == test.value,
-        "prefix": lambda: F.lower(column).startswith(test.value),
-        "suffix": lambda: F.lower(column).endswith(test.value),
-        "contains": lambda: F.lower(column).contains(test.value),
+        "prefix": lambda: folded.startswith(test.value),
+        "suffix": lambda: folded.endswith(test.value),
+        "contains": lambda: folded.contains(test.value),
     }[test.mode]()
     return ~F.coalesce(held, F.lit(False)) if test.negated else held
 

@@ -564,12 +564,34 @@ def _(t):
     return stats.load_report(ingest.load(delivered(t))[0])
 
 
-@over_trail("ingest_warnings", "SELECT 'logs/' || (ts_ms // 86400000) || '.json' AS path, 0 AS entry FROM trail WHERE event_name = 'StopLogging' GROUP BY 1")
+@over_trail("ingest_warnings", f"SELECT 'logs/' || (ts_ms // 86400000) || '.json' AS path, 0 AS entry, '{ingest.UNFIT}' AS error FROM trail WHERE event_name = 'StopLogging' GROUP BY 1")
 def _(t):
     lines = export.full_json(t).join(t.select("record_id", "event_name"), "record_id").withColumn("path", F.format_string("logs/%d.json", F.expr("ts_ms div 86400000")))
     broken = F.when(F.col("event_name") == "StopLogging", F.replace("line", F.lit('"eventName":"StopLogging"'), F.lit('"eventName":42'))).otherwise(F.col("line"))
     files = lines.groupBy("path").agg(F.concat(F.lit('{"Records":['), F.array_join(F.collect_list(broken), ","), F.lit("]}")).cast("binary").alias("content"))
-    return ingest.load(files)[1].select("path", "entry")
+    return ingest.load(files)[1]
+
+
+def looked_up(t: DataFrame) -> DataFrame:
+    """(path, content): the trail as lookup files, one an hour; events named StopLogging lack their record."""
+    lines = export.full_json(t).join(t.select("record_id", "event_name"), "record_id")
+    nested = F.when(F.col("event_name") != "StopLogging", F.col("line"))
+    each = lines.select(F.format_string("lookup/%d.json", F.expr("ts_ms div 3600000")).alias("path"), F.struct(F.col("event_name").alias("EventName"), nested.alias("CloudTrailEvent")).alias("event"))
+    files = each.groupBy("path").agg(F.to_json(F.struct(F.collect_list("event").alias("Events"))).cast("binary").alias("content"))
+    return files
+
+
+BROKEN_HOURS = "SELECT DISTINCT ts_ms // 3600000 FROM trail WHERE event_name = 'StopLogging'"
+
+
+@over_trail("ingest_lookup", f"SELECT {', '.join(FILE_ROW)} FROM trail WHERE ts_ms // 3600000 NOT IN ({BROKEN_HOURS})")
+def _(t):
+    return ingest.load(looked_up(t))[0].select(*FILE_ROW)
+
+
+@over_trail("ingest_lookup_warnings", f"SELECT 'lookup/' || h || '.json' AS path, 0 AS entry, '{ingest.UNFIT}' AS error FROM ({BROKEN_HOURS}) AS t(h)")
+def _(t):
+    return ingest.load(looked_up(t))[1]
 
 
 @over_trail("export_csv", """, c AS (SELECT record_id, event_name, event_source, aws_region, coalesce(source_ip, '') AS ip, coalesce(user_name, '') AS un, coalesce(user_arn, '') AS ua, coalesce(error_code, '') AS ec, ts_ms FROM trail)

@@ -23,8 +23,14 @@ PAYLOADS = [
     '{"cidrIp":"0.0.0.0/0"}', '{"cidr":"::/0","ruleAction":"deny"}', '{"cidr":"0.0.0.0/0","ruleAction":"allow"}', '{"mapPublicIpOnLaunch":{"value":true}}',
     '{"deletionProtection":false}', '{"publiclyAccessible":true}', '{"masterUserPassword":"x"}', '{"createVolumePermission":{"add":{"items":[{"group":"all"}]}}}',
     '{"userData":"x"}', '{"httpTokens":"optional"}', '{"principal":"*"}', '{"environment":{}}', '{"launchPermission":{"add":["all"]}}', '{"accountIds":["All"]}',
-    '{"attributeName":"restore"}', '{"bucketName":"b1","key":"k1"}',
+    '{"attributeName":"restore"}', '{"bucketName":"b*1","key":"k1"}',
 ]
+#: A payload that meets the test of a name's rule; a fifth of the events with such a name carry it, so that each rule fires.
+FITTING = {
+    "CreateAccessKey": '{"userName":"someone"}', "CreatePolicyVersion": '{"setAsDefault":true}', "AssumeRole": '{"roleArn":"arn:aws:iam::999999999999:role/guest"}',
+    "UpdateTrail": '{"name":"t","s3BucketName":"elsewhere"}', "SetTopicAttributes": '{"attributeName":"KmsMasterKeyId","attributeValue":""}',
+    "SetQueueAttributes": '{"attributes":{"KmsMasterKeyId":""}}', "ModifyInstanceMetadataOptions": '{"instanceId":"i1","httpTokens":"optional"}',
+}
 REGIONS = ["us-east-1", "us-west-2", "eu-west-1", "ap-south-1"]
 
 SELECT = """
@@ -36,19 +42,19 @@ SELECT record_id, ts_ms, record_id AS source_id,
   CASE WHEN k = 99 THEN NULL WHEN k = 98 THEN '10.0.0.' || CAST(user_id % 200 AS {text})
        ELSE '198.51.' || CAST(user_id % 100 AS {text}) || '.' || CAST(record_id % 2 AS {text}) END AS source_ip,
   CASE WHEN user_id % 3 = 0 THEN 'cli/2.1' WHEN user_id % 3 = 1 THEN 'Console, "web"' ELSE NULL END AS user_agent,
-  CASE WHEN k = 0 THEN 'Root' WHEN user_id % 2 = 0 THEN 'IAMUser' ELSE 'AssumedRole' END AS identity_type,
+  CASE WHEN k IN (0, 50) OR record_id % 41 = 5 THEN 'Root' WHEN user_id % 2 = 0 THEN 'IAMUser' ELSE 'AssumedRole' END AS identity_type,
   'P' || CAST(user_id AS {text}) AS principal_id,
   CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'arn:aws:iam::10000000000' || CAST(user_id % 3 AS {text}) || ':user/u' || CAST(user_id AS {text}) END AS user_arn,
   '10000000000' || CAST(user_id % 3 AS {text}) AS account_id,
   CASE WHEN user_id % 10 = 0 THEN NULL ELSE 'user' || CAST(user_id AS {text}) END AS user_name,
   CASE WHEN kind = 'error' AND k % 2 = 0 THEN 'AccessDenied' WHEN kind = 'error' AND k % 5 = 0 THEN 'ThrottlingException' ELSE NULL END AS error_code,
   CASE WHEN kind = 'view' THEN CASE WHEN k % 25 = 24 THEN NULL ELSE '{{"bucketName":"bucket' || CAST(k % 7 AS {text}) || '","key":"key' || CAST(record_id % 40 AS {text}) || '"}}' END
-       WHEN k % 20 = 19 THEN NULL ELSE {payload} END AS request_parameters,
+       WHEN k % 20 = 19 THEN NULL WHEN record_id % 5 = 1 THEN {fitting} ELSE {payload} END AS request_parameters,
   CASE WHEN kind = 'signup' THEN CASE WHEN k % 3 = 0 THEN '{{"ConsoleLogin":"Failure"}}' ELSE '{{"ConsoleLogin":"Success"}}' END ELSE NULL END AS response_elements,
   CASE WHEN kind = 'signup' THEN CASE WHEN k % 2 = 0 THEN '{{"MFAUsed":"Yes"}}' ELSE '{{"MFAUsed":"No"}}' END
        WHEN kind = 'view' AND k % 10 <> 9 THEN '{{"bytesTransferredOut":' || CAST(k * 1000 AS {text}) || '.7}}' ELSE NULL END AS additional_event_data,
   CASE WHEN kind = 'view' THEN CASE WHEN k % 25 = 24 THEN NULL ELSE 'bucket' || CAST(k % 7 AS {text}) END
-       WHEN k % 20 <> 19 AND {place} = {bucket_at} THEN 'b1' ELSE NULL END AS bucket_name,
+       WHEN k % 20 <> 19 AND record_id % 5 <> 1 AND {place} = {bucket_at} THEN 'b*1' ELSE NULL END AS bucket_name,
   k % 2 = 0 AS read_only
 FROM ({source}) AS raw
 """
@@ -62,16 +68,18 @@ def listed(values: list[str], index: str, spark: bool) -> str:
 
 def derivation(source: str, spark: bool) -> str:
     place = f"(record_id * 13 + k) % {len(PAYLOADS)}"
+    named = f"(record_id * 7 + k * 31 + user_id) % {len(NAMES)}"
     return SELECT.format(
-        busy=listed(BUSY, f"(record_id + k) % {len(BUSY)}", spark), name=listed(NAMES, f"(record_id * 7 + k * 31 + user_id) % {len(NAMES)}", spark),
+        busy=listed(BUSY, f"(record_id + k) % {len(BUSY)}", spark), name=listed(NAMES, named, spark), fitting=listed([FITTING.get(name, PAYLOADS[0]) for name in NAMES], named, spark),
         region=listed(REGIONS, f"user_id % {len(REGIONS)}", spark), payload=listed(PAYLOADS, place, spark), place=place, bucket_at=len(PAYLOADS) - 1,
         text="STRING" if spark else "VARCHAR", source=source,
     )
 
 
-SPARK_SOURCE = "SELECT event_id AS record_id, unix_millis(CAST(ts AS TIMESTAMP)) AS ts_ms, user_id, event_type AS kind, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}"
+#: Two thirds of the reads and of the busy names come from one identity, a third of the others from four.
+SPARK_SOURCE = "SELECT event_id AS record_id, unix_millis(CAST(ts AS TIMESTAMP)) AS ts_ms, CASE WHEN event_type IN ('view', 'purchase') AND event_id % 3 < 2 THEN 7 WHEN event_id % 3 = 0 THEN user_id % 4 + 6 ELSE user_id END AS user_id, event_type AS kind, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}"
 #: DuckDB: a CTE that oracle SQL starts with. Its epoch_ms rounds where Spark floors, hence epoch_us.
-DUCKDB_SOURCE = "SELECT event_id AS record_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+DUCKDB_SOURCE = "SELECT event_id AS record_id, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_type IN ('view', 'purchase') AND event_id % 3 < 2 THEN 7 WHEN event_id % 3 = 0 THEN user_id % 4 + 6 ELSE user_id END AS user_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 TRAIL = f"trail AS ({derivation(DUCKDB_SOURCE, spark=False)})"
 
 

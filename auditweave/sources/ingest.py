@@ -34,6 +34,7 @@ Row = tuple[str, int, int | None, str | None, str | None, str | None]
 LAYOUTS = ("Records", "Events")
 #: Bytes read, and characters passed on, at a time; the most that Spark parses as one record.
 CHUNK, RECORD_BYTES = 1 << 20, 128 << 20
+UNFIT = "json: a record does not fit the delivery format"
 REQUIRED = ["event_time", "event_source", "event_name", "aws_region"]
 NESTED = {"session_context", "request_parameters", "response_elements", "additional_event_data"}
 
@@ -238,13 +239,14 @@ def split_records(units: DataFrame) -> DataFrame:
     """(path, entry, pos, record, error): the records of each unit as JSON texts.
 
     ``{"Records": [...]}`` is tried first, then ``{"Events": [{"CloudTrailEvent": "..."}]}``, of which only
-    the nested text counts. A unit of neither layout gives one row with an error. A single record over the
-    size of a variant (128 MiB) rejects its unit."""
+    the nested text counts; an event without one rejects its unit, as a record that does not fit does. A unit of
+    neither layout gives one row with an error. A single record over the size of a variant (128 MiB) rejects
+    its unit."""
     variant = F.try_parse_json("text")
     nested = F.try_variant_get(variant, "$.CloudTrailEvent", "string")
     record = F.when(F.col("layout") == LAYOUTS[0], F.to_json(variant)).otherwise(nested)
     why = F.when(F.octet_length("text") > RECORD_BYTES, "json: a record of over 128 MiB").otherwise("json: not a JSON document")
-    error = F.coalesce("error", F.when(F.col("text").isNotNull() & variant.isNull(), why))
+    error = F.coalesce("error", F.when(F.col("text").isNotNull(), F.when(variant.isNull(), why).when(record.isNull(), UNFIT)))
     return units.select("path", "entry", "pos", record.alias("record"), error.alias("error"))
 
 
@@ -290,7 +292,7 @@ def load(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     entry, error) of the units that were rejected."""
     records = typed(split_records(decode(files)))
     judged = records.groupBy("path", "entry").agg(F.max("error").alias("unit_error"), F.min(F.col("valid") | F.col("record").isNull()).alias("all_valid"))
-    reason = F.coalesce("unit_error", F.when(~F.col("all_valid"), "json: a record does not fit the delivery format"))
+    reason = F.coalesce("unit_error", F.when(~F.col("all_valid"), UNFIT))
     units = judged.select("path", "entry", reason.alias("reason"))
     good = records.where("record IS NOT NULL").join(units.where("reason IS NULL").select("path", "entry"), ["path", "entry"], "left_semi")
     date = F.to_date(F.timestamp_millis("ts_ms"))

@@ -174,3 +174,13 @@ def test_streams(spark, tmp_path):
     assert [r.rule_id for r in spark.table("alert_stream").collect()] == ["DE-01"] * 3
     assert sorted(r.events for r in spark.table("session_stream").collect()) == [1, 2]
     assert detect.SAMPLE == 100
+
+
+def test_a_lookup_event_without_its_record_rejects_the_unit(spark, tmp_path):
+    good, bare = {"EventId": "1", "CloudTrailEvent": json.dumps(RECORD)}, {"EventId": "2", "EventName": "X"}
+    (tmp_path / "bad.json").write_text(json.dumps({"Events": [good, bare]}))
+    (tmp_path / "null.json").write_text(json.dumps({"Events": [good, {"CloudTrailEvent": None}]}))
+    (tmp_path / "good.json").write_text(json.dumps({"Events": [good]}))
+    events, warnings = ingest.load(ingest.find_files(spark, str(tmp_path)))
+    assert [r.path.rsplit("/", 1)[1] for r in events.collect()] == ["good.json"]
+    assert sorted((r.path.rsplit("/", 1)[1], r.error) for r in warnings.collect()) == [("bad.json", ingest.UNFIT), ("null.json", ingest.UNFIT)]

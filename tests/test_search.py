@@ -97,3 +97,9 @@ def test_dates_prune_partitions(spark, tmp_path, capsys):
     found.explain("formatted")
     plan = capsys.readouterr().out
     assert "PartitionFilters" in plan and "event_date" in plan.split("PartitionFilters")[1].splitlines()[0]
+
+
+def test_case_is_folded_in_ascii_only(spark):
+    rows = spark.createDataFrame([(1, "\u00c9TOILE"), (2, "\u00e9toile"), (3, "Etoile")], "record_id long, user_name string")
+    found = {text: sorted(r.record_id for r in rows.where(search.predicate(search.parse(text))).collect()) for text in ("userName=*TOI*", "userName=\u00c9to*", "userName=*ILE")}
+    assert found == {"userName=*TOI*": [1, 2, 3], "userName=\u00c9to*": [1], "userName=*ILE": [1, 2, 3]}
