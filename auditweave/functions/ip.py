@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The IPv4 ranges that lookups skip.
+PRIVATE = [ipaddress.ip_network(net) for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "255.255.255.255/32", "0.0.0.0/32")]
+
 
 def key_of(text: str | None) -> str | None:
     """The family (4 or 6) and 32 hex digits of the address: of equal length, so text order is address order. Null for anything that is not an address."""
@@ -27,8 +30,7 @@ def private_of(text: str | None) -> bool | None:
         return None
     if ip.version == 6:
         return ip.is_loopback or ip.is_unspecified
-    nets = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "255.255.255.255/32", "0.0.0.0/32")
-    return any(ip in ipaddress.ip_network(net) for net in nets)
+    return any(ip in net for net in PRIVATE)
 
 
 @F.pandas_udf(T.StringType())
