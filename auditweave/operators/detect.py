@@ -12,11 +12,16 @@ from auditweave.functions.columns import actor, actor_or_ip
 from auditweave.functions.staging import staged
 from auditweave.operators import bursts, geo
 from auditweave.operators.objects import object_reads
-from auditweave.plans.catalogue import GEO_RULES, RULES, SEVERITIES, SPARK, Rule, predicate, sql
+from auditweave.plans.catalogue import GEO_RULES, RULE_COLUMNS, RULES, SEVERITIES, SPARK, Rule, predicate, sql
 
 SAMPLE = 100
 
 
+def quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def candidates(events: DataFrame, rules: list[Rule], *keep: str | Column) -> DataFrame:
     """(rule_id, keep...) of the events that satisfy each rule's predicate, from one scan.
 
@@ -26,19 +31,19 @@ def candidates(events: DataFrame, rules: list[Rule], *keep: str | Column) -> Dat
     for k, rule in enumerate(rules):
         for name in rule.names:
             by_name.setdefault(name, []).append(k)
-    none = F.array().cast("array<int>")
-    named = none
+    # Texts of SQL rather than columns, for the map and the tests have hundreds of parts; and no lambda, which
+    # would take the scan and the explode out of generated code.
+    parts = ["CAST(array() AS array<int>)"]
     if by_name:
-        table = F.create_map(*[x for name, ks in sorted(by_name.items()) for x in (F.lit(name), F.array(*map(F.lit, ks)))])
-        named = F.when(F.col("event_name").isin(sorted(by_name)), F.coalesce(F.try_element_at(table, F.col("event_name")), none)).otherwise(none)
-    nameless = [F.when(F.expr(predicate(rule)), F.lit(k)) for k, rule in enumerate(rules) if not rule.names]
-    picked = F.concat(named, F.array_compact(F.array(*nameless))) if nameless else named
+        table = ", ".join(f"{quoted(name)}, array({', '.join(map(str, ks))})" for name, ks in sorted(by_name.items()))
+        names = ", ".join(map(quoted, sorted(by_name)))
+        parts.append(f"CASE WHEN event_name IN ({names}) THEN coalesce(try_element_at(map({table}), event_name), {parts[0]}) ELSE {parts[0]} END")
+    parts += [f"CASE WHEN {predicate(rule)} THEN array({k}) ELSE {parts[0]} END" for k, rule in enumerate(rules) if not rule.names]
+    picked = F.expr(f"concat({', '.join(parts)})")
     rows = events.select("*", F.explode(picked).alias("__rule"))
-    held = F.lit(True)
-    for k, rule in enumerate(rules):
-        if rule.names and rule.where:
-            held = F.when(F.col("__rule") == k, F.coalesce(F.expr(sql(rule.where, SPARK)), F.lit(False))).otherwise(held)
-    ids = F.element_at(F.array(*[F.lit(rule.rule_id) for rule in rules]), F.col("__rule") + 1)
+    tests = [f"WHEN {k} THEN coalesce({sql(rule.where, SPARK)}, false)" for k, rule in enumerate(rules) if rule.names and rule.where]
+    held = F.expr(f"CASE __rule {' '.join(tests)} ELSE true END") if tests else F.lit(True)
+    ids = F.expr(f"element_at(array({', '.join(quoted(rule.rule_id) for rule in rules)}), __rule + 1)")
     return rows.where(held).select(ids.alias("rule_id"), *keep)
 
 
@@ -108,8 +113,8 @@ def geo_alert_events(events: DataFrame, places: DataFrame) -> DataFrame:
 
 def rule_table(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rules as a small table, in catalogue order."""
-    rows = [(k, r.rule_id, r.severity, SEVERITIES[r.severity], r.tactic, r.technique, r.service, r.title, r.evidence_query()) for k, r in enumerate(rules)]
-    return events.sparkSession.createDataFrame(rows, "ordinal int, rule_id string, severity string, severity_rank int, mitre_tactic string, mitre_technique string, service string, title string, query string")
+    rows = [(k, r.rule_id, r.severity, SEVERITIES[r.severity], r.tactic, r.technique, r.service, r.title, r.evidence_query(), None) for k, r in enumerate(rules)]
+    return events.sparkSession.createDataFrame(rows, RULE_COLUMNS)
 
 
 def in_range(found: DataFrame, start: int | None, end: int | None) -> DataFrame:
@@ -131,13 +136,14 @@ def assemble(found: DataFrame, rules: DataFrame, sample: int = SAMPLE) -> DataFr
     one = F.when(F.size("offenders") == 1, F.col("offenders")[0])
     field = F.when(F.col("rule_id") == "IA-04", "sourceIPAddress").when(one.startswith("arn:"), "arn").otherwise("userName")
     scoped = F.when(one.isNotNull() & (one != "unknown"), F.concat(F.col("query"), F.lit(" "), field, F.lit('="'), one, F.lit('"'))).otherwise(F.col("query"))
-    described = F.format_string("%s: %d event(s)", F.col("title"), F.col("matching_count"))
-    out = rows.withColumn("query", scoped).withColumn("description", described).withColumn("offenders", F.coalesce("offenders", F.array().cast("array<string>")))
+    described = F.format_string("%s: %d event(s)", F.coalesce("about", "title"), F.col("matching_count"))
+    out = rows.withColumn("query", scoped).withColumn("description", described).withColumn("offenders", F.coalesce("offenders", F.array().cast("array<string>"))).drop("about")
     return out.orderBy(F.desc("severity_rank"), "ordinal")
 
 
-def metadata(found: DataFrame, events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(rule_id, metadata): the further facts of each alert as a map of texts."""
+def metadata(found: DataFrame, events: DataFrame, rules: list[Rule], custom: list[dict] | None = None) -> DataFrame:
+    """(rule_id, metadata): the further facts of each alert as a map of texts; alerts of the user rules
+    ``custom`` say that they are custom."""
     facts = {name: [r.rule_id for r in rules if name in r.facts] for name in ("count", "offending_ips", "threshold", "identities", "total_bytes_out", "object_count", "total_run_instances")}
     keys = found.where("key IS NOT NULL").select("rule_id", "key").distinct().groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("keys"))
     reads = object_reads(events).select("record_id", "bytes_out")
@@ -149,13 +155,15 @@ def metadata(found: DataFrame, events: DataFrame, rules: list[Rule]) -> DataFram
         "count": F.col("n"), "offending_ips": F.col("keys"), "identities": F.col("keys"), "total_bytes_out": F.col("bytes"),
         "object_count": F.col("n"), "total_run_instances": F.col("started"), "threshold": F.lit(limits.get("IA-04", 0)),
     }
-    entries = F.array(*[F.when(F.col("rule_id").isin(ids), F.struct(F.lit(name).alias("k"), values[name].cast("string").alias("v"))) for name, ids in facts.items()])
-    return rows.select("rule_id", F.map_from_entries(F.array_compact(entries)).alias("metadata"))
+    entries = [F.when(F.col("rule_id").isin(ids), F.struct(F.lit(name).alias("k"), values[name].cast("string").alias("v"))) for name, ids in facts.items()]
+    if custom:
+        entries.append(F.when(F.col("rule_id").isin([rule["id"] for rule in custom]), F.struct(F.lit("source").alias("k"), F.lit("custom").alias("v"))))
+    return rows.select("rule_id", F.map_from_entries(F.array_compact(F.array(*entries))).alias("metadata"))
 
 
-def run(events: DataFrame, places: DataFrame | None = None, custom: list[dict] | None = None, start: int | None = None, end: int | None = None, rules: list[Rule] | None = None, stretch: int = 1) -> DataFrame:
+def run(events: DataFrame, places: DataFrame | None = None, custom: list[dict] | None = None, start: int | None = None, end: int | None = None, rules: list[Rule] | None = None, stretch: int = 1, facts: bool = False) -> DataFrame:
     """Alerts of the built-in rules, of the rules on countries if place data is given, and of user rules,
-    counted in full within the range."""
+    counted in full within the range; with ``facts``, each with its metadata."""
     from auditweave.operators import custom_rules
 
     rules = list(RULES if rules is None else rules)
@@ -163,12 +171,16 @@ def run(events: DataFrame, places: DataFrame | None = None, custom: list[dict] |
     table = rule_table(events, rules + (GEO_RULES if places is not None else []))
     if places is not None:
         found = found.unionByName(geo_alert_events(events, places))
-    if custom:
-        good, _ = custom_rules.validate(custom)
+    good = custom_rules.validate(custom)[0] if custom else []
+    if good:
         found = found.unionByName(custom_rules.alert_events(events, good))
         table = table.unionByName(custom_rules.rule_table(events, good, len(rules) + 2))
     # Assembly reads the flagged events several times.
-    return assemble(staged(in_range(found, start, end), "alert-events"), table)
+    found = staged(in_range(found, start, end), "alert-events")
+    alerts = assemble(found, table)
+    if facts:
+        alerts = alerts.join(metadata(found, events, rules, good), "rule_id").orderBy(F.desc("severity_rank"), "ordinal")
+    return alerts
 
 
 def evidence(events: DataFrame, alert_query: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.functions.columns import UNKNOWN, identity
+from auditweave.functions.staging import staged
 
 GAP_MS, DAY_MS = 1_800_000, 86_400_000
 KEY = ["identity", "ip"]
@@ -55,9 +56,15 @@ def sessions(marked: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Sessions numbered from 0 in order of their first event; a report, for it orders all sessions."""
-    order = Window.orderBy("session_start.ts_ms", "session_start.record_id", *KEY)
-    return found.withColumn("number", F.row_number().over(order) - 1)
+    """Sessions numbered from 0 in order of their first event: ranges of that order are numbered apart, and the
+    counts of the ranges before, a row a range, are added."""
+    order = ["session_start.ts_ms", "session_start.record_id", *KEY]
+    ranged = staged(found.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "session-ranges")
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(offsets), "__range").withColumn("number", nth + F.col("__before")).drop("__range", "__before")
 
 
 ORDERS = {"first": "first_ms", "duration": "duration_ms", "events": "events", "errors": "errors"}
@@ -86,5 +93,10 @@ def detail(found: DataFrame, marked: DataFrame, session_id: str) -> DataFrame:
 
 
 def index_by(found: DataFrame, column: str) -> DataFrame:
-    """(value, sessions, session_ids) by ``identity`` or ``ip``."""
-    return found.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("sessions"), F.array_sort(F.collect_list("session_id")).alias("session_ids"))
+    """(value, session_id), a row a session, by ``identity`` or ``ip``: one value may hold a third of them."""
+    return found.select(F.col(column).alias("value"), "session_id")
+
+
+def index_counts(found: DataFrame, column: str) -> DataFrame:
+    """(value, sessions) by ``identity`` or ``ip``."""
+    return found.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("sessions"))

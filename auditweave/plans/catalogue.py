@@ -38,6 +38,11 @@ class Rule:
         return self.evidence or " OR ".join(f"eventName={name}" for name in self.names)
 
 
+#: The rule table; about is a user rule's own description.
+RULE_COLUMNS = (
+    "ordinal int, rule_id string, severity string, severity_rank int, mitre_tactic string, mitre_technique string, "
+    "service string, title string, query string, about string"
+)
 SEVERITIES = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 C, H, M, L, I = SEVERITIES
 OPEN = "(RP('0.0.0.0/0') OR RP('::/0'))"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.functions import columns
+from auditweave.functions.staging import shared_folder
 from auditweave.operators import bursts, correlate, custom_rules, detect, geo, objects, search, sessions, stats
 from auditweave.plans.catalogue import DUCKDB, GEO_RULES, RULES, SEVERITIES, predicate
 from auditweave.plans.trail import TRAIL, trail
@@ -286,15 +288,25 @@ def _(t):
 
 @over_trail("session_index", MARKED + " SELECT identity AS value, count(*) AS sessions FROM found GROUP BY 1")
 def _(t):
-    return sessions.index_by(sessions.sessions(sessions.session_events(t)), "identity").select("value", "sessions")
+    return sessions.index_counts(sessions.sessions(sessions.session_events(t)), "identity")
 
 
-@over_trail("session_detail", MARKED + ", top AS (SELECT identity, ip, first_id FROM found ORDER BY events DESC, first_ms, first_id LIMIT 1) SELECT record_id, ts_ms, event_name, source_ip, error_code FROM marked JOIN top USING (identity, ip, first_id)")
+@over_trail("session_index_ids", MARKED + " SELECT ip AS value, sha256(concat_ws('|', identity, ip, CAST(first_ms AS VARCHAR), CAST(first_id AS VARCHAR))) AS session_id FROM found")
+def _(t):
+    return sessions.index_by(sessions.sessions(sessions.session_events(t)), "ip")
+
+
+LONGEST = """, top AS (SELECT identity, ip, first_id FROM found ORDER BY events DESC, first_ms, first_id LIMIT 1)
+SELECT record_id, ts_ms, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ts_ms % 1000 AS VARCHAR), 3, '0') || 'Z' AS event_time,
+event_name, event_source, aws_region, source_ip, error_code, read_only FROM marked JOIN top USING (identity, ip, first_id)"""
+
+
+@over_trail("session_detail", MARKED + LONGEST)
 def _(t):
     marked = sessions.session_events(t)
-    longest = sessions.sessions(marked).orderBy(F.desc("events"), "first_ms", first_id()).limit(1)
-    rows = marked.join(F.broadcast(longest.select("identity", "ip", "session_start")), ["identity", "ip", "session_start"], "left_semi")  # one row
-    return rows.select("record_id", "ts_ms", "event_name", "source_ip", "error_code")
+    found = sessions.sessions(marked)
+    longest = found.orderBy(F.desc("events"), "first_ms", first_id()).select("session_id").first()  # one id
+    return sessions.detail(found, marked, longest.session_id if longest else "")
 
 
 # --- bursts and rules ---------------------------------------------------------------------------------
@@ -407,6 +419,22 @@ def _(t):
     return detect.metadata(detect.alert_events(t, stretch=STRETCH), t, RULES).select("rule_id", F.explode("metadata").alias("name", "value"))
 
 
+def alert_text_sql() -> str:
+    """What alerts say: description, offenders (the first 100), the query narrowed to a single offender, source."""
+    shown = [(r.rule_id, r.title, r.evidence_query()) for r in RULES]
+    shown += [(r["id"], r.get("description", r["name"]), " OR ".join(f"eventName={n}" for n in custom_rules.names_of(r))) for r in custom_rules.STARTERS]
+    rules = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in shown)
+    keyed = ", ".join(f"'{r.rule_id}'" for r in RULES if r.burst and r.burst.key)
+    return f""", ae AS ({ALL_RULES} UNION ALL {custom_sql()}), rules(rule_id, title, query) AS (VALUES {rules}),
+keyed AS (SELECT DISTINCT rule_id, CASE rule_id WHEN 'IA-04' THEN source_ip WHEN 'DI-03' THEN coalesce(user_arn, user_name, source_ip, 'unknown') ELSE actor END AS key FROM ae JOIN trail USING (record_id) WHERE rule_id IN ({keyed})),
+firsts AS (SELECT * FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY key) <= 100),
+named AS (SELECT rule_id, count(*) AS n, min(key) AS one, string_agg(key, ',' ORDER BY key) AS offenders FROM firsts GROUP BY 1),
+counts AS (SELECT rule_id, count(*) AS events FROM ae GROUP BY 1)
+SELECT rule_id, title || ': ' || CAST(events AS VARCHAR) || ' event(s)' AS description, coalesce(offenders, '') AS offenders, CASE WHEN rule_id LIKE 'CR-%' THEN 'custom' END AS source,
+query || CASE WHEN n = 1 AND one <> 'unknown' THEN ' ' || CASE WHEN rule_id = 'IA-04' THEN 'sourceIPAddress' WHEN one LIKE 'arn:%' THEN 'arn' ELSE 'userName' END || '="' || one || '"' ELSE '' END AS query
+FROM counts JOIN rules USING (rule_id) LEFT JOIN named USING (rule_id)"""
+
+
 @over_trail("alert_evidence", f"SELECT {ROW} FROM trail WHERE event_name IN ('StopLogging', 'DeleteTrail', 'UpdateTrail')")
 def _(t):
     return detect.evidence(t, next(r for r in RULES if r.rule_id == "DE-01").evidence_query()).selectExpr(*ROW.split(", "))
@@ -426,6 +454,12 @@ def _(t):
     return custom_rules.alert_events(t, custom_rules.validate(custom_rules.STARTERS)[0]).drop("key")
 
 
+@over_trail("alert_texts", alert_text_sql())
+def _(t):
+    alerts = detect.run(t, custom=custom_rules.STARTERS, stretch=STRETCH, facts=True)
+    return alerts.select("rule_id", "description", F.array_join("offenders", ",").alias("offenders"), F.col("metadata")["source"].alias("source"), "query")
+
+
 # --- correlation --------------------------------------------------------------------------------------
 
 
@@ -594,6 +628,25 @@ def _(t):
     return ingest.load(looked_up(t))[1]
 
 
+@over_trail("ingest_gzip", f"SELECT {', '.join(FILE_ROW)} FROM trail")
+def _(t):
+    """Real compressed files below a folder, one an hour, found and read back."""
+    each = export.full_json(t).select(F.expr("ts_ms div 3600000").alias("hour"), F.parse_json("line").alias("record"))
+    root = f"{shared_folder(t.sparkSession)}/delivered-{uuid.uuid4().hex}"
+    files = each.groupBy("hour").agg(F.collect_list("record").alias("Records"))
+    files.write.partitionBy("hour").option("compression", "gzip").json(root)
+    return ingest.load(ingest.find_files(t.sparkSession, root))[0].select(*FILE_ROW)
+
+
+@over_trail("export_table", f"SELECT record_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS event_date, event_name FROM trail WHERE ts_ms >= {EARLY}")
+def _(t):
+    """The table partitioned by event date, written and read back through a time bound."""
+    path = f"{shared_folder(t.sparkSession)}/table-{uuid.uuid4().hex}"
+    export.write_table(t, path)
+    back = t.sparkSession.read.parquet(path)
+    return search.search(back, f"earliest={EARLY}").select("record_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "event_name")
+
+
 @over_trail("export_csv", """, c AS (SELECT record_id, event_name, event_source, aws_region, coalesce(source_ip, '') AS ip, coalesce(user_name, '') AS un, coalesce(user_arn, '') AS ua, coalesce(error_code, '') AS ec, ts_ms FROM trail)
 SELECT record_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ts_ms % 1000 AS VARCHAR), 3, '0') || 'Z,' || event_name || ',' || event_source || ',' || aws_region || ',' || ip || ',' || un || ',' || ua || ',' || ec AS line FROM c""")
 def _(t):
