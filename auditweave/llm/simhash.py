@@ -158,32 +158,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) of each row of ``docs``: root, a fingerprint, names the component
+    that links of at most ``radius`` bits make, and component_id is its smallest id, null where no row has one.
+
+    Fingerprints are the nodes, so copies are never paired, and texts that only share an id stay apart."""
+    marked = staged(fingerprints(docs, id_col, text_col, width), "simhash")
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    roots = components(links(nodes.withColumn("node", F.col("fp")), radius, bands, hot))
+    named = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bands: int = BANDS, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, fingerprint, component_id) of each row of ``docs``.
 
     component_id is the smallest id that links of at most ``radius`` bits reach, the own id included.
-    Texts without words (null, empty, blank) have fingerprint 0 and link like others. Equal fingerprints
-    are one node, so copies are never paired. Rows with a null id get a fingerprint and the component of
-    those it equals or links to, or null where none of them has an id. Repeated rows appear each; an
-    empty table gives none."""
-    marked = staged(fingerprints(docs, id_col, text_col, width), "simhash")
-    # A fingerprint that only rows with null ids hold still carries links, so its node lies above all ids.
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = staged(first.select("fp", F.coalesce("low", F.lit((1 << 62)) + F.shiftrightunsigned(F.xxhash64("fp"), 3)).alias("node")), "simhash-nodes")
-    roots = components(links(nodes, radius, bands, hot))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return marked.join(named, "fp").select(
-        "doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("root") < (1 << 62), F.col("root")).alias("component_id")
-    )
+    Texts without words (null, empty, blank) have fingerprint 0 and link like others. Rows with a null id
+    get a fingerprint and the component of those they equal or link to, or null where none of them has an
+    id. Rows that share an id link by their texts alone. Repeated rows appear each; an empty table gives
+    none."""
+    found = classes(docs, id_col, text_col, radius, bands, width, hot)
+    return found.select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Of each group of near-duplicates the row of the smallest id, all columns unchanged. Rows with a null
-    id go where their group has an id, and stay otherwise; of rows that repeat an id one stays."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("text_key").alias("__key"))
-    alone = found.where(F.col("component_id").isNull()).select(F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", text_key(text_col))
-    named = keyed.join(kept.withColumnRenamed("doc_id", id_col), [id_col, "__key"], "left_semi").dropDuplicates([id_col])
-    nameless = keyed.where(F.col(id_col).isNull()).join(alone, "__key", "left_semi")
-    return named.unionByName(nameless).drop("__key").select(*docs.columns)
+    """Of each group of near-duplicates one row, all columns unchanged: that of the smallest id, null ids
+    last, and of the smallest text hash among rows that share it; of repeated rows one."""
+    found = classes(docs, id_col, text_col, radius)
+    # Ids with their absence as a column of its own: join keys, by which the rows then lie when repeats go.
+    nameless, number = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
+    keys = ["__none", "__id", "__key"]
+    best = F.min(F.struct(nameless.alias("__none"), number.alias("__id"), F.col("text_key").alias("__key")))
+    kept = found.groupBy("root").agg(best.alias("__best")).select("__best.*")
+    keyed = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__key": text_key(text_col)})
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -132,6 +132,14 @@ def test_keep_one(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    one, two, big = prose(21, 60), prose(22, 60), (1 << 62) + 5
+    rows = [(1, one), (1, two), (2, one), (3, two), (big, prose(23, 60)), (None, prose(24, 60)), (None, prose(24, 60))]
+    check(spark, rows)
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(k), t) for k, t in [rows[0], rows[1], rows[4], rows[5]])
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(8)
     chain = [(k, k + 1) for k in range(60)]
