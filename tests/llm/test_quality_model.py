@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from auditweave.llm import quality_model
-from tests.llm.helpers import ODD, frame, prose
+from auditweave.llm.common import crc_mod
+from auditweave.llm.features import count_texts
+from tests.llm.helpers import ODD, frame, mixed_texts, plain_counts, prose
 
 
 def test_additive_model_learns_shapes_and_pairs():
@@ -50,3 +54,34 @@ def test_sample_bound(spark):
     docs = frame(spark, [(k, prose(k, 30)) for k in range(50)])
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(50)], "doc_id long, quality int, toxic int")
     assert quality_model.score_texts(docs, labels, max_rows=10).count() == 50
+
+
+def plain_score(model, text):
+    """The score of one text: its bin in each table by counting edges, and the sum of the entries there."""
+    c = plain_counts(text)
+    words, lines, chars = (max(c[name], 1) for name in ("n_words", "n_lines", "word_chars"))
+    letters = max(c["n_upper"] + c["n_lower"] + c["n_wide"], 1)
+    x = [
+        math.log1p(c["n_words"]), c["word_chars"] / words, c["n_symbols"] / words, c["n_dup_lines"] / lines,
+        c["n_repeat_words"] / words, c["n_words"] / lines, c["n_ended_lines"] / lines, c["n_upper"] / letters,
+        c["n_wide"] / letters, c["n_digits"] / chars, c["n_bangs"] / words, c["n_stops"] / words,
+        c["n_pipes"] / words, c["n_other"] / chars, c["n_distinct"] / words, c["n_top"] / words,
+    ]
+    bins = [sum(edge <= value for edge in edges) for value, edges in zip(x, model.edges, strict=True)]
+    total = model.base + sum(table[b] for table, b in zip(model.tables, bins, strict=True))
+    for i, j, table in model.pairs:
+        total += table[bins[i] * 8 // max(len(model.tables[i]), 8)][bins[j] * 8 // max(len(model.tables[j]), 8)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_match_naive_table_sums(spark):
+    rows = mixed_texts()
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 9 < 4), 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    model = quality_model.train(count_texts(docs).where(crc_mod("doc_id", 3) != 1), labels)
+    assert model.pairs and any(table.any() for *_, table in model.pairs)
+    found = sorted((r.doc_id, r.score) for r in quality_model.score_texts(docs, labels).collect())
+    want = sorted((k, plain_score(model, text)) for k, text in rows)
+    assert [k for k, _ in found] == [k for k, _ in want]
+    assert np.allclose([s for _, s in found], [s for _, s in want], atol=1e-9)
+    assert len({round(s, 6) for _, s in want}) > 50

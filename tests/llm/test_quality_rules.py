@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 
 from auditweave.llm import quality_rules
 from auditweave.llm.features import COUNTS, count_texts, repeated_words
-from tests.llm.helpers import ODD, frame, prose, words
+from tests.llm.helpers import ODD, frame, mixed_texts, plain_counts, prose, words
 
 
 def brute_repeats(found):
@@ -30,6 +31,61 @@ def test_base_counts(spark):
     assert row.n_dup_lines == 1
 
 
+def plain_votes(c):
+    """Votes of the twelve rules on one text: bad -1, good 1, neither 0."""
+    n = max(c["n_words"], 1)
+    letters = max(c["n_upper"] + c["n_lower"] + c["n_wide"], 1)
+    pure = letters / (letters + c["n_symbols"] + c["n_bangs"] + c["n_other"])
+    length, symbols, upper, stops = c["word_chars"] / n, c["n_symbols"] / n, c["n_upper"] / letters, c["n_stops"] / n
+    repeated, top, bangs = c["n_repeat_words"] / n, c["n_top"] / n, c["n_bangs"] / n
+    tests = [
+        (c["n_words"] < 10, c["n_words"] >= 40), (not 2 <= length <= 15, 3 <= length <= 11), (symbols > 0.1, symbols <= 0.02),
+        (pure < 0.93, pure >= 0.96), (c["n_pipes"] / n > 0.05, c["n_pipes"] == 0), (c["n_words"] >= 5 and symbols > 0.3, c["n_symbols"] == 0),
+        (c["n_dup_lines"] / max(c["n_lines"], 1) > 0.3, c["n_dup_lines"] == 0), (repeated > 0.2, repeated <= 0.05),
+        (c["n_words"] >= 20 and top > 0.25, top <= 0.15), (c["n_words"] >= 5 and bangs > 0.3, bangs <= 0.05),
+        (c["n_words"] >= 5 and upper > 0.5, upper <= 0.2), (c["n_words"] >= 20 and stops < 0.01, 0.02 <= stops <= 0.6),
+    ]
+    return tuple(-1 if bad else 1 if good else 0 for bad, good in tests)
+
+
+def plain_posteriors(votes):
+    """Expectation-maximisation text by text, with the start, the added ones and the end of the operator."""
+    good = []
+    for vote in votes:
+        cast = sum(map(abs, vote))
+        good.append(1 / (1 + math.exp(-20 * (sum(vote) / max(cast, 1) - 0.6))))
+    last = -math.inf
+    for _ in range(200):
+        shares = []
+        for weight in ([1 - g for g in good], good):
+            mass = sum(weight)
+            rates = [{v: (sum(w for w, vote in zip(weight, votes, strict=True) if vote[r] == v) + 1) / (mass + 3) for v in (-1, 0, 1)} for r in range(12)]
+            shares.append(((mass + 1) / (len(votes) + 2), rates))
+        fit, after = 0.0, []
+        for vote in votes:
+            bad, fine = (prior * math.prod(rates[r][v] for r, v in enumerate(vote)) for prior, rates in shares)
+            fit += math.log(bad + fine)
+            after.append(fine / (bad + fine))
+        good = after
+        if fit - last < 1e-9 * abs(fit):
+            break
+        last = fit
+    return good
+
+
+def test_verdicts_match_brute_force(spark):
+    rows = mixed_texts()
+    found = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, round(r.quality, 6), r.kept) for r in quality_rules.judge(frame(spark, rows)).collect())
+    counts = [plain_counts(text) for _, text in rows]
+    want = Counter()
+    for (k, _), c, quality in zip(rows, counts, plain_posteriors([plain_votes(c) for c in counts]), strict=True):
+        failed = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        base = [c[name] for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        want[(k, *base, failed, round(quality, 6), not failed and quality >= 0.5)] += 1
+    assert found == want
+    assert 20 < sum(row[-1] for row in want) < len(rows) - 20
+
+
 def test_odd_rows(spark):
     rows = quality_rules.judge(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD)
