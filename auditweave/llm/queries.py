@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditweave.llm import byte_bpe, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substring_dedup, top_k
+from auditweave.llm import alignment, byte_bpe, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substring_dedup, top_k
 from auditweave.llm.common import table
 from auditweave.llm.oracles import ORACLE_SQL
 
@@ -58,6 +58,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -71,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_top_k": op9_top_k,
     "op10_quality_rules": op10_quality_rules,
+    "op11_alignment": op11_alignment,
 }
