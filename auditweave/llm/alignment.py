@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.byte_bpe import OVERHEAD, merge_parts, pre_tokens, vocabulary
+from auditweave.llm.byte_bpe import OVERHEAD, SPLIT, vocabulary
 from auditweave.llm.common import arrow_schema, map_texts, staged
 
 #: A space between two characters that are neither spaces nor the mark of a space: every token of either tokeniser
@@ -28,7 +28,7 @@ from auditweave.llm.common import arrow_schema, map_texts, staged
 LONE_SPACE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 #: Characters of a long text that are tokenised at a time.
 SEGMENT = 1 << 18
-#: Bytes (estimated) that a worker remembers, twice over, of words of either side and of windows.
+#: Bytes (estimated) that a worker remembers, twice over, of words and of windows.
 MEMORY, WINDOW_MEMORY = 48 << 20, 64 << 20
 #: The id pairs whose counts every task gets, at most: 16 bytes each.
 FREQUENT = 1 << 19
@@ -53,6 +53,12 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def halved(key: bytes) -> list[bytes]:
+    """Both sides of a window whose ids hold the separator's bytes across two of them."""
+    at = 4 * int(np.flatnonzero(np.frombuffer(key, "<u4") == 0xFFFFFFFF)[0])
+    return [key[:at], key[at + 4 :]]
+
+
 class Memory:
     """What ``make`` gives for keys, in two generations of ``limit`` bytes each (estimated by ``times`` the keys'
     lengths): what is not asked for again is dropped."""
@@ -80,6 +86,7 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         import sentencepiece
+        import tiktoken
 
         self.vocab = vocabulary(byte_path)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
@@ -88,16 +95,16 @@ class Aligner:
         self.by_words = not any("▁" in name.lstrip("▁") for name in names)
         self.bytes_a = self.vocab.texts
         self.bytes_b = [bytes([int(name[3:-1], 16)]) if self.pieces.is_byte(k) else name.replace("▁", " ").encode() for k, name in enumerate(names)]
-        self.lengths_a, self.lengths_b = (list(map(len, side)) for side in (self.bytes_a, self.bytes_b))
-        self.size_a, self.size_b = np.array(self.lengths_a), np.array(self.lengths_b)
+        self.size_a, self.size_b = (np.array(list(map(len, side))) for side in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in side]) for side in (self.bytes_a, self.bytes_b))
-        self.words_a, self.words_b, self.windows = Memory(self.merge_a), Memory(self.merge_b), Memory(lambda keys: list(map(self.align_window, keys)), WINDOW_MEMORY, times=3)
+        # The file numbers its tokens in the order of their merges, which is what the other library's format asks for.
+        self.whole = tiktoken.Encoding("bytes", pat_str=SPLIT.pattern, mergeable_ranks={x: k for k, x in enumerate(self.bytes_a) if k not in self.vocab.special.values()}, special_tokens={})
+        self.words_b, self.windows = Memory(self.merge_b), Memory(self.align_windows, WINDOW_MEMORY, times=3)
 
-    def encode_a(self, bodies: list[str]) -> list[bytes]:
-        """Ids of the byte-level tokeniser for space+body of each; special strings are plain text."""
-        cut = [pre_tokens(" " + body) for body in bodies]
-        known = self.words_a.of(set().union(*cut))
-        return [b"".join([known[word] for word in words]) for words in cut]
+    def encode_a(self, body: str) -> bytes:
+        """Ids of the byte-level tokeniser for space+body; special strings are plain text."""
+        ids = self.whole.encode_to_numpy(" " + body, disallowed_special=())
+        return self.verified(ids, self.bytes_a, b" " + body.encode())
 
     def encode_b(self, bodies: list[str]) -> list[bytes]:
         """Ids of the piece tokeniser for each body, to which it adds a space."""
@@ -111,58 +118,55 @@ class Aligner:
         plain = not ("  " in body or "▁" in body or body.startswith(" ") or body.endswith(" "))
         return body.split(" ") if plain else LONE_SPACE.split(body)
 
-    def merge_a(self, words: list[str]) -> list[bytes]:
-        found = merge_parts(words, self.vocab, lambda ids: array("I", ids))
-        return [self.verified(found[word], self.bytes_a, word.encode()) for word in words]
-
     def merge_b(self, words: list[str]) -> list[bytes]:
         found = self.pieces.encode(words, num_threads=1)
         return [self.verified(array("I", ids), self.bytes_b, b" " + word.encode()) for word, ids in zip(words, found, strict=True)]
 
     @staticmethod
-    def verified(ids: array, texts: list[bytes], whole: bytes) -> bytes:
+    def verified(ids: array | np.ndarray, texts: list[bytes], whole: bytes) -> bytes:
         """The ids, or UNLIKE if their bytes are not the text's."""
-        return ids.tobytes() if b"".join([texts[k] for k in ids]) == whole else UNLIKE
-
-    def align_window(self, key: bytes) -> tuple[str, bytes, bytes]:
-        """Of a window, given by its ids of both sides: its groups as text, its id pairs as often as they are linked,
-        and of large groups (pair, links) each. A group links all its tokens of one side to all of the other."""
-        ids = np.frombuffer(key, "<u4").tolist()
-        cut = ids.index(0xFFFFFFFF)
-        left, right = ids[:cut], ids[cut + 1 :]
-        groups, pairs, times = [], [], {}
-        size_a, size_b, wide = self.lengths_a, self.lengths_b, len(self.bytes_b)
-        i = j = begun_a = begun_b = 0
-        end_a, end_b = size_a[left[0]], size_b[right[0]]
-        while True:
-            if end_a < end_b:
-                i += 1
-                end_a += size_a[left[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += size_b[right[j]]
-            else:
-                i, j = i + 1, j + 1
-                if i - begun_a == 1 and j - begun_b == 1:
-                    a, b = left[begun_a], right[begun_b]
-                    groups.append(f"{a}|{b}")
-                    pairs.append(a * wide + b)
-                else:
-                    some_a, some_b = left[begun_a:i], right[begun_b:j]
-                    groups.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
-                    if len(some_a) * len(some_b) <= SMALL_GROUP:
-                        pairs += [a * wide + b for a in some_a for b in some_b]
-                    else:
-                        often_a, often_b = Counter(some_a), Counter(some_b)
-                        for a, n_a in often_a.items():
-                            for b, n_b in often_b.items():
-                                times[a * wide + b] = times.get(a * wide + b, 0) + n_a * n_b
-                if i == len(left):
-                    break
-                begun_a, begun_b = i, j
-                end_a += size_a[left[i]]
-                end_b += size_b[right[j]]
-        return ";".join(groups), array("q", pairs).tobytes(), array("q", [x for pair in times.items() for x in pair]).tobytes()
+        return ids.tobytes() if b"".join([texts[k] for k in ids.tolist()]) == whole else UNLIKE
+
+    def align_windows(self, keys: list[bytes]) -> list[tuple[str, bytes, bytes]]:
+        """Of windows, each given by its ids of both sides: the groups as text, the id pairs as often as they are
+        linked, and of large groups (pair, links) each. A group links all its tokens of one side to all of the other."""
+        halves = [key.split(UNLIKE) for key in keys]
+        if any(len(half) != 2 for half in halves):
+            halves = [halved(key) for key in keys]
+        ids_a, ids_b = (np.frombuffer(b"".join([half[side] for half in halves]), "<u4") for side in (0, 1))
+        last_a, last_b = self.shared(ids_a, ids_b)
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        wide = len(self.bytes_b)
+        list_a, list_b = ids_a.tolist(), ids_b.tolist()
+        links = n_a * n_b
+        groups = [f"{list_a[i]}|{list_b[j]}" for i, j in zip(last_a.tolist(), last_b.tolist(), strict=True)]
+        begin_a, begin_b = last_a + 1 - n_a, last_b + 1 - n_b
+        for g in np.flatnonzero(links > 1).tolist():
+            some_a, some_b = list_a[begin_a[g] : last_a[g] + 1], list_b[begin_b[g] : last_b[g] + 1]
+            groups[g] = f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}"
+        listed = np.where(links <= SMALL_GROUP, links, 0)
+        nth = np.arange(int(listed.sum())) - np.repeat(np.cumsum(listed) - listed, listed)
+        over = np.repeat(n_b, listed)
+        pairs = (ids_a[np.repeat(begin_a, listed) + nth // over].astype(np.int64) * wide + ids_b[np.repeat(begin_b, listed) + nth % over]).tobytes()
+        large: dict[int, bytes] = {}
+        for g in np.flatnonzero(links > SMALL_GROUP).tolist():
+            (a, often_a), (b, often_b) = (np.unique(ids[begin[g] : last[g] + 1].astype(np.int64), return_counts=True) for ids, begin, last in ((ids_a, begin_a, last_a), (ids_b, begin_b, last_b)))
+            large[g] = np.stack([np.add.outer(a * wide, b).ravel(), np.outer(often_a, often_b).ravel()], axis=1).astype(np.int64).tobytes()
+        stops = (np.searchsorted(last_a, np.cumsum([len(half[0]) // 4 for half in halves]) - 1) + 1).tolist()
+        ends = (8 * np.concatenate([[0], np.cumsum(listed)])).tolist()
+        out, begun = [], 0
+        for stop in stops:
+            more = b"".join([large[g] for g in range(begun, stop) if g in large]) if large else b""
+            out.append((";".join(groups[begun:stop]), pairs[ends[begun] : ends[stop]], more))
+            begun = stop
+        return out
+
+    def shared(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places, on both sides, of the tokens that end where one of the other side does."""
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = np.flatnonzero(ends_b[at] == ends_a)
+        return last_a, at[last_a]
 
     def cut(self, coded_a: bytes, coded_b: bytes) -> tuple[int, int, int, int, list[bytes]] | None:
         """(tokens of A, tokens of B, groups, links, windows) of a text from its ids on both sides; nothing if the
@@ -170,10 +174,7 @@ class Aligner:
         ids_a, ids_b = np.frombuffer(coded_a, "<u4"), np.frombuffer(coded_b, "<u4")
         if max(ids_a.max(), ids_b.max()) == 0xFFFFFFFF:
             return None
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        at = np.searchsorted(ends_b, ends_a)
-        last_a = np.flatnonzero(ends_b[at] == ends_a)
-        last_b = at[last_a]
+        last_a, last_b = self.shared(ids_a, ids_b)
         links = int((np.diff(last_a, prepend=-1) * np.diff(last_b, prepend=-1)).sum())
         marked = self.space_a[ids_a[last_a[:-1] + 1]] & self.space_b[ids_b[last_b[:-1] + 1]]
         stops_a, stops_b = ([*((last[:-1][marked] + 1) * 4).tolist(), 4 * len(ids)] for last, ids in ((last_a, ids_a), (last_b, ids_b)))
@@ -200,7 +201,7 @@ class Aligner:
 
     def settle(self, waiting: list[tuple[Alignment, str]]) -> None:
         bodies = [body for _, body in waiting]
-        cuts = [self.cut(a, b) for a, b in zip(self.encode_a(bodies), self.encode_b(bodies), strict=True)]
+        cuts = [self.cut(a, b) for a, b in zip(map(self.encode_a, bodies), self.encode_b(bodies), strict=True)]
         known = self.windows.of(set().union(*[found[4] for found in cuts if found]))
         for (out, _), found in zip(waiting, cuts, strict=True):
             out.add(found, known)
