@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditweave.llm import alignment, byte_bpe, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substring_dedup, top_k, toxicity
+from auditweave.llm import alignment, byte_bpe, hard_negatives, language_id, line_dedup, mixing, quality_model, quality_rules, simhash, substring_dedup, top_k, toxicity
 from auditweave.llm.common import table
 from auditweave.llm.oracles import ORACLE_SQL
 
@@ -62,6 +62,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_quality_rules": op10_quality_rules,
     "op11_alignment": op11_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_toxicity": op13_toxicity,
 }
