@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from auditweave.operators import bursts, correlate, custom_rules, detect, geo, o
 from auditweave.plans.catalogue import DUCKDB, GEO_RULES, RULES, SEVERITIES, predicate
 from auditweave.plans.trail import TRAIL, trail
 from auditweave.schema import FACETS, FIELDS
-from auditweave.sources import export, ingest
+from auditweave.sources import archives, export, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,40 +574,66 @@ def _(spark, sf_dir):
 def delivered(t: DataFrame) -> DataFrame:
     """(path, length, content): the trail as delivered files, one for each hour of the clock and day."""
     lines = export.full_json(t).withColumn("path", F.date_format(F.timestamp_millis("ts_ms"), "'logs/'yyyy/MM/dd/HH'.json'"))
-    files = lines.groupBy("path").agg(F.concat(F.lit('{"Records":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "record_id", "line"))), lambda r: r["line"]), ","), F.lit("]}")).cast("binary").alias("content"))
+    files = lines.groupBy("path").agg(document(F.col("line")).cast("binary").alias("content"))
     return files.select("path", F.octet_length("content").cast("long").alias("length"), "content")
 
 
-FILE_ROW = ["ts_ms", "event_name", "aws_region", "source_ip", "principal_id", "user_name", "error_code", "request_parameters", "read_only", "bucket_name"]
+def document(record: Column) -> Column:
+    """Aggregate: a delivery document of JSON texts, in order of time."""
+    ordered = F.array_sort(F.collect_list(F.struct("ts_ms", "record_id", record.alias("record"))))
+    return F.concat(F.lit('{"Records":['), F.array_join(F.transform(ordered, lambda r: r["record"]), ","), F.lit("]}"))
 
 
-@over_trail("ingest_delivery", f"SELECT {', '.join(FILE_ROW)} FROM trail")
+FILE_ROW = ["ts_ms", "event_name", "aws_region", "source_ip", "principal_id", "user_name", "error_code", "request_parameters", "response_elements", "read_only", "bucket_name"]
+FILE_SQL = f"SELECT {', '.join(FILE_ROW)} FROM trail"
+
+
+@over_trail("ingest_delivery", FILE_SQL)
 def _(t):
-    return ingest.load(delivered(t))[0].select(*FILE_ROW)
+    return ingest.load(delivered(t)).events.select(*FILE_ROW)
 
 
-@over_trail("ingest_day_window", f"SELECT {', '.join(FILE_ROW)} FROM trail WHERE ts_ms >= 1704844800000 AND ts_ms < 1705017600000")
+@over_trail("ingest_day_window", f"{FILE_SQL} WHERE ts_ms >= 1704844800000 AND ts_ms < 1705017600000")
 def _(t):
-    files = delivered(t)
-    return ingest.load(files.where(ingest.in_window(F.col("path"), 1_704_880_000_000, 1_705_000_000_000)))[0].select(*FILE_ROW)
+    """Delivered files in day folders, of which those of the window are listed and read."""
+    root = f"{shared_folder(t.sparkSession)}/days-{uuid.uuid4().hex}"
+    lines = export.full_json(t).withColumn("day", F.to_date(F.timestamp_millis("ts_ms")))
+    files = lines.groupBy("day").agg(document(F.col("line")).alias("value"))
+    folder = [F.date_format("day", part).alias(part) for part in ("yyyy", "MM", "dd")]
+    hive = f"{root}/hive"
+    files.select("value", *folder).write.partitionBy("yyyy", "MM", "dd").text(hive)
+    bare_folders(t.sparkSession, hive, f"{root}/logs", ("yyyy", "MM", "dd"))
+    found = ingest.find_files(t.sparkSession, f"{root}/logs", start_ms=1_704_880_000_000, end_ms=1_705_000_000_000)
+    return ingest.load(found).events.select(*FILE_ROW)
+
+
+def bare_folders(spark: SparkSession, source: str, target: str, names: tuple[str, ...]) -> None:
+    """Moves folders name=value/... of ``source`` to value/... of ``target``, with files named as logs."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = fs_path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(fs_path(source + "".join(f"/{name}=*" for name in names) + "/part-*")):
+        path = found.getPath().toString()
+        inner = [part.split("=")[1] for part in path.split("/")[-1 - len(names) : -1]]
+        folder = "/".join([target, *inner])
+        system.mkdirs(fs_path(folder))
+        system.rename(fs_path(path), fs_path(f"{folder}/{path.rsplit('/', 1)[1].removesuffix('.txt')}.json"))
 
 
 @over_trail("ingest_summary", "SELECT count(DISTINCT ts_ms // 3600000) AS files, count(*) AS events, min(ts_ms) AS earliest_ms, max(ts_ms) AS latest_ms FROM trail")
 def _(t):
-    return stats.source_summary(ingest.load(delivered(t))[0])
+    return stats.source_summary(ingest.load(delivered(t)).events)
 
 
 @over_trail("ingest_report", "SELECT strftime(make_timestamp(ts_ms * 1000), 'logs/%Y/%m/%d/%H.json') AS path, count(*) AS records FROM trail GROUP BY 1")
 def _(t):
-    return stats.load_report(ingest.load(delivered(t))[0])
+    return ingest.load(delivered(t)).report
 
 
 @over_trail("ingest_warnings", f"SELECT 'logs/' || (ts_ms // 86400000) || '.json' AS path, 0 AS entry, '{ingest.UNFIT}' AS error FROM trail WHERE event_name = 'StopLogging' GROUP BY 1")
 def _(t):
     lines = export.full_json(t).join(t.select("record_id", "event_name"), "record_id").withColumn("path", F.format_string("logs/%d.json", F.expr("ts_ms div 86400000")))
     broken = F.when(F.col("event_name") == "StopLogging", F.replace("line", F.lit('"eventName":"StopLogging"'), F.lit('"eventName":42'))).otherwise(F.col("line"))
-    files = lines.groupBy("path").agg(F.concat(F.lit('{"Records":['), F.array_join(F.collect_list(broken), ","), F.lit("]}")).cast("binary").alias("content"))
-    return ingest.load(files)[1]
+    return ingest.load(lines.groupBy("path").agg(document(broken).cast("binary").alias("content"))).warnings
 
 
 def looked_up(t: DataFrame) -> DataFrame:
@@ -618,24 +648,62 @@ def looked_up(t: DataFrame) -> DataFrame:
 BROKEN_HOURS = "SELECT DISTINCT ts_ms // 3600000 FROM trail WHERE event_name = 'StopLogging'"
 
 
-@over_trail("ingest_lookup", f"SELECT {', '.join(FILE_ROW)} FROM trail WHERE ts_ms // 3600000 NOT IN ({BROKEN_HOURS})")
+@over_trail("ingest_lookup", f"{FILE_SQL} WHERE ts_ms // 3600000 NOT IN ({BROKEN_HOURS})")
 def _(t):
-    return ingest.load(looked_up(t))[0].select(*FILE_ROW)
+    return ingest.load(looked_up(t)).events.select(*FILE_ROW)
 
 
 @over_trail("ingest_lookup_warnings", f"SELECT 'lookup/' || h || '.json' AS path, 0 AS entry, '{ingest.UNFIT}' AS error FROM ({BROKEN_HOURS}) AS t(h)")
 def _(t):
-    return ingest.load(looked_up(t))[1]
+    return ingest.load(looked_up(t)).warnings
+
+
+@over_trail("ingest_fallback", FILE_SQL)
+def _(t):
+    """Files with both layouts, of which the delivery layout holds a record that does not fit in every third hour."""
+    lines = export.full_json(t)
+    hour = F.expr("ts_ms div 3600000")
+    events = F.to_json(F.struct(F.collect_list(F.struct(F.col("line").alias("CloudTrailEvent"))).alias("Events")))
+    both = lines.groupBy(hour.alias("hour")).agg(document(F.col("line")).alias("records"), events.alias("events"))
+    bad = F.when(F.col("hour") % 3 == 0, F.replace("records", F.lit('{"Records":['), F.lit('{"Records":[{"eventName":1},'))).otherwise(F.col("records"))
+    content = F.concat(F.expr("substring(events, 1, length(events) - 1)"), F.lit(","), F.substring(bad, F.lit(2), F.length(bad)))
+    return ingest.load(both.select(F.format_string("both/%d.json", "hour").alias("path"), content.cast("binary").alias("content"))).events.select(*FILE_ROW)
 
 
-@over_trail("ingest_gzip", f"SELECT {', '.join(FILE_ROW)} FROM trail")
+@over_trail("ingest_gzip", FILE_SQL)
 def _(t):
     """Real compressed files below a folder, one an hour, found and read back."""
-    each = export.full_json(t).select(F.expr("ts_ms div 3600000").alias("hour"), F.parse_json("line").alias("record"))
     root = f"{shared_folder(t.sparkSession)}/delivered-{uuid.uuid4().hex}"
-    files = each.groupBy("hour").agg(F.collect_list("record").alias("Records"))
-    files.write.partitionBy("hour").option("compression", "gzip").json(root)
-    return ingest.load(ingest.find_files(t.sparkSession, root))[0].select(*FILE_ROW)
+    files = export.full_json(t).groupBy(F.expr("ts_ms div 3600000").alias("hour")).agg(document(F.col("line")).alias("value"))
+    files.write.partitionBy("hour").option("compression", "gzip").text(root)
+    return ingest.load(ingest.find_files(t.sparkSession, root)).events.select(*FILE_ROW)
+
+
+def zipped(t: DataFrame, root: str) -> None:
+    """Writes the trail as a zip archive a day, with an entry an hour; each archive holds a text that is no log too."""
+
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("readme.txt", "no log")
+            for hour, content in sorted(zip(group.column("hour").to_pylist(), group.column("content").to_pylist(), strict=True)):
+                archive.writestr(f"{hour}.json{'.gz' if hour % 2 else ''}", gzip.compress(content.encode()) if hour % 2 else content)
+        system, inner = archives.opened(f"{root}/{key[0].as_py()}.zip")
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(inner) as out:
+            out.write(packed.getvalue())
+        return pa.table({"n": [group.num_rows]})
+
+    hours = export.full_json(t).groupBy(F.expr("ts_ms div 86400000").alias("day"), F.expr("ts_ms div 3600000").alias("hour")).agg(document(F.col("line")).alias("content"))
+    hours.groupBy("day").applyInArrow(pack, "n long").agg(F.sum("n")).collect()  # one row
+
+
+@over_trail("ingest_zip", FILE_SQL)
+def _(t):
+    """Real archives below a folder, whose entries are read by tasks of their own."""
+    root = f"{shared_folder(t.sparkSession)}/zipped-{uuid.uuid4().hex}"
+    zipped(t, root)
+    return ingest.load(None, archives.read(t.sparkSession, root, task_bytes=1 << 20)).events.select(*FILE_ROW)
 
 
 @over_trail("export_table", f"SELECT record_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS event_date, event_name FROM trail WHERE ts_ms >= {EARLY}")
@@ -653,10 +721,13 @@ def _(t):
     return export.csv_lines(t).select("record_id", "line")
 
 
-@over_trail("export_json", "SELECT record_id, event_name, request_parameters FROM trail")
+@over_trail("export_json", "SELECT record_id, event_name, request_parameters, response_elements, additional_event_data FROM trail")
 def _(t):
-    line = F.col("line")
-    return export.full_json(t).select("record_id", F.get_json_object(line, "$.eventName").alias("event_name"), F.get_json_object(line, "$.requestParameters").alias("request_parameters"))
+    """Payloads are taken from the lines as they stand there."""
+    names = ["requestParameters", "responseElements", "additionalEventData"]
+    later = [f'(?:,"(?:{"|".join(names[k + 1 :])})":|}}$)' if k < 2 else "}$" for k in range(3)]
+    spans = [F.nullif(F.regexp_extract("line", f'[}}],"{name}":(.*?){end}', 1), F.lit("")).alias(column) for name, end, column in zip(names, later, export.PAYLOADS, strict=True)]
+    return export.full_json(t).select("record_id", F.get_json_object("line", "$.eventName").alias("event_name"), *spans)
 
 
 @over_trail("export_counts", "SELECT count(*) AS rows FROM trail WHERE error_code IS NOT NULL")

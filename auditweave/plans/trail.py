@@ -23,7 +23,8 @@ PAYLOADS = [
     '{"cidrIp":"0.0.0.0/0"}', '{"cidr":"::/0","ruleAction":"deny"}', '{"cidr":"0.0.0.0/0","ruleAction":"allow"}', '{"mapPublicIpOnLaunch":{"value":true}}',
     '{"deletionProtection":false}', '{"publiclyAccessible":true}', '{"masterUserPassword":"x"}', '{"createVolumePermission":{"add":{"items":[{"group":"all"}]}}}',
     '{"userData":"x"}', '{"httpTokens":"optional"}', '{"principal":"*"}', '{"environment":{}}', '{"launchPermission":{"add":["all"]}}', '{"accountIds":["All"]}',
-    '{"attributeName":"restore"}', '{"bucketName":"b*1","key":"k1"}',
+    '{"attributeName":"restore"}', '{"z":123456789012345678901234567890123456789012,"a":1e3,"n":1.50}', '{ "zone" : "é漢" , "list" : [1,  2.0], "a" : null }',
+    '{"bucketName":"b*1","key":"k1"}',
 ]
 #: A payload that meets the test of a name's rule; a fifth of the events with such a name carry it, so that each rule fires.
 FITTING = {

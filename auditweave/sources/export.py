@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditweave.operators.search import in_time_order
@@ -31,30 +33,53 @@ def csv_lines(events: DataFrame) -> DataFrame:
     return events.select("ts_ms", "record_id", F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS.values()]).alias("line"))
 
 
-def write_csv(events: DataFrame, path: str) -> None:
-    csv_rows(events).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+def counted(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Writes ``rows`` and says how many they were, from a metric on the way: no second pass."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get["rows"]
+
+
+def write_csv(events: DataFrame, path: str) -> int:
+    """Gives the number of rows."""
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+    return counted(csv_rows(events), lambda rows: rows.write.options(**options).csv(path))
 
 
 def full_json(events: DataFrame) -> DataFrame:
-    """(ts_ms, record_id, line): each event as one JSON object under delivered names, payloads as objects."""
+    """(ts_ms, record_id, line): each event as one JSON object under delivered names; payloads come last, with the
+    text that they were delivered with (line breaks between their members as spaces). Nulls are left out, as are
+    payloads that are not JSON."""
     identity = {name: path.split(".")[1] for name, path in PATHS.items() if path.startswith("userIdentity.") and name != "session_context"}
-    parts = [F.col(name).alias(path) for name, path in PATHS.items() if "." not in path and name not in PAYLOADS]
-    nested = [F.try_parse_json(name).alias(PATHS[name]) for name in PAYLOADS]
-    who = F.struct(*[F.col(name).alias(short) for name, short in identity.items()], F.try_parse_json("session_context").alias("sessionContext"))
-    other = [F.col("request_id").alias("requestID"), F.col("read_only").alias("readOnly"), F.col("management_event").alias("managementEvent"), F.col("shared_event_id").alias("sharedEventID"), F.col("resources")]
-    return events.select("ts_ms", "record_id", F.to_json(F.struct(*parts, who.alias("userIdentity"), *nested, *other)).alias("line"))
+    resources = F.transform("resources", lambda r: F.struct(r["account_id"].alias("accountId"), r["type"].alias("type"), r["arn"].alias("ARN")))
+    plain = [F.col(name).alias(path) for name, path in PATHS.items() if "." not in path and name not in PAYLOADS]
+    plain += [F.col(name).alias(path) for name, path in (("request_id", "requestID"), ("read_only", "readOnly"), ("management_event", "managementEvent"), ("shared_event_id", "sharedEventID"))]
+
+    def inside(*parts: Column) -> Column:
+        """The members of an object, without its braces; null if it has none."""
+        text = F.to_json(F.struct(*parts))
+        return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+
+    def verbatim(name: str, path: str) -> Column:
+        sound = F.get_json_object(name, "$").isNotNull()
+        return F.when(sound, F.concat(F.lit(f'"{path}":'), F.regexp_replace(name, r"[\r\n]", " ")))
+
+    who = F.concat(F.lit('"userIdentity":{'), F.concat_ws(",", inside(*[F.col(name).alias(short) for name, short in identity.items()]), verbatim("session_context", "sessionContext")), F.lit("}"))
+    line = F.concat(F.lit("{"), F.concat_ws(",", inside(*plain, resources.alias("resources")), who, *[verbatim(name, PATHS[name]) for name in PAYLOADS]), F.lit("}"))
+    return events.select("ts_ms", "record_id", line.alias("line"))
 
 
-def write_json(events: DataFrame, path: str) -> None:
-    """One JSON object a line, in time order; a single array would need a single writer."""
-    in_time_order(full_json(events)).select("line").write.text(path)
+def write_json(events: DataFrame, path: str) -> int:
+    """One JSON object a line, in time order; a single array would need a single writer. Gives the number of rows."""
+    return counted(in_time_order(full_json(events)).select("line"), lambda rows: rows.write.text(path))
 
 
 def export_counts(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("rows"))
 
 
-def write_table(events: DataFrame, path: str) -> None:
-    """The events table, partitioned by event date and dealt by it, so that a day is few files."""
+def write_table(events: DataFrame, path: str) -> int:
+    """The events table, partitioned by event date and dealt by it, so that a day is few files. Gives the number of rows."""
     dated = events.withColumn("event_date", F.to_date(F.timestamp_millis("ts_ms")))
-    dated.hint("rebalance", "event_date").sortWithinPartitions("ts_ms").write.partitionBy("event_date").parquet(path)
+    dealt = dated.hint("rebalance", "event_date").sortWithinPartitions("ts_ms")
+    return counted(dealt, lambda rows: rows.write.partitionBy("event_date").parquet(path))

@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from auditweave.functions.columns import UNKNOWN, actor, identity
 from auditweave.operators.detect import candidates
 from auditweave.plans.catalogue import RULES
-from auditweave.sources.ingest import NAMES, decode, split_records, typed
-
-BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+from auditweave.sources.ingest import BINARY, NAMES, RECORD, decode, with_derived
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
     """Valid events of new files below ``root``. Rejecting a whole file for one record needs all its records
     at once, so a stream drops the bad records only."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(NAMES))
-    return typed(split_records(decode(files))).where("valid")
+    return with_derived(decode(files, lenient=True).where(F.col("kind") == RECORD))
 
 
 def stream_alert_events(events: DataFrame) -> DataFrame:

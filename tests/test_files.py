@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import zipfile
+from functools import partial
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditweave.operators import detect, objects, stats
-from auditweave.sources import export, ingest
+from auditweave.sources import archives, export, ingest
 from auditweave.streaming import live
 from tests.audit import event, table
 
@@ -42,14 +45,15 @@ def test_loading(spark, tmp_path):
     (tmp_path / "other.json").write_text('{"Other": []}')
     (tmp_path / "skipped.txt").write_bytes(delivered(RECORD))
 
-    events, warnings = ingest.load(ingest.find_files(spark, str(tmp_path)))
-    events = events.cache()
+    loaded = ingest.load(ingest.find_files(spark, str(tmp_path)))
+    events, warnings = loaded
     counts = {r.path.rsplit("/", 1)[1]: r.records for r in stats.load_report(events).collect()}
+    assert counts == {r.path.rsplit("/", 1)[1]: r.records for r in loaded.report.collect()}
     assert counts == {"one.json": 2, "two.log.gz": 1, "odd.log": 1, "plain.JSON.GZ": 1, "export.json": 2, "pack.zip": 3}
     told = {(r.path.rsplit("/", 1)[1], r.entry): r.error.split(":")[0] for r in warnings.collect()}
     assert told == {("pack.zip", 2): "json", ("bad.json", 0): "json", ("torn.json.gz", 0): "gzip", ("broken.zip", 0): "zip", ("text.log", 0): "json", ("other.json", 0): "json"}
     row = events.where("path like '%odd.log'").first()
-    assert (row.ts_ms, row.bucket_name, row.request_id, row.read_only, row.session_context) == (1_709_287_200_000, "b", "r1", True, '{"x":1}')
+    assert (row.ts_ms, row.bucket_name, row.request_id, row.read_only, row.session_context) == (1_709_287_200_000, "b", "r1", True, '{"x": 1}')
     assert row.resources[0].arn == "arn:x" and json.loads(row.request_parameters) == {"bucketName": "b", "key": "k"}
     summary = stats.source_summary(events).first()
     assert (summary.files, summary.events, summary.earliest_ms) == (6, 10, 1_709_287_200_000)
@@ -57,9 +61,14 @@ def test_loading(spark, tmp_path):
     single, _ = ingest.load(ingest.find_files(spark, str(tmp_path / "skipped.txt"), single=True))
     assert single.count() == 1
 
+    apart = ingest.load(ingest.find_files(spark, str(tmp_path), archives=False), archives.read(spark, str(tmp_path), task_bytes=1))
+    columns = [c for c in events.columns if c not in ("path", "record_id")]
+    for one, other in ((events.select(columns), apart.events.select(columns)), (warnings.drop("path"), apart.warnings.drop("path")), (loaded.report.drop("path"), apart.report.drop("path"))):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
 
-def test_a_unit_above_the_limit_of_a_variant(spark, tmp_path):
-    """140 MB of JSON, where a variant ends at 128 MiB."""
+def test_large_units_and_records(spark, tmp_path):
+    """Units of 140 MB, and a record of that size."""
     pad = json.dumps("x" * (1 << 20))[1:-1]
     small = RECORD | {"requestID": "r2"}
     wide = [RECORD | {"requestParameters": {"key": pad}}] * 140
@@ -67,12 +76,11 @@ def test_a_unit_above_the_limit_of_a_variant(spark, tmp_path):
     (tmp_path / "export.json.gz").write_bytes(gzip.compress(json.dumps({"Events": [{"EventId": "1", "CloudTrailEvent": json.dumps(r)} for r in wide]}).encode(), 1))
     (tmp_path / "other.json.gz").write_bytes(gzip.compress(json.dumps({"Records": [RECORD, small], "Other": [pad] * 140}).encode(), 1))
     (tmp_path / "late.json.gz").write_bytes(gzip.compress(json.dumps({"Other": [pad] * 140, "Records": [small, small | {"eventName": 42}]}).encode(), 1))
-    found = ingest.find_files(spark, str(tmp_path))
-    records = ingest.split_records(ingest.decode(found)).groupBy("path").agg(F.count("record").alias("n"), F.count("error").alias("errors"), F.max("pos").alias("last"))
-    assert {r.path.rsplit("/", 1)[1]: (r.n, r.errors, r.last) for r in records.collect()} == {"delivery.json.gz": (140, 0, 139), "export.json.gz": (140, 0, 139), "other.json.gz": (2, 0, 1), "late.json.gz": (2, 0, 1)}
-    events, warnings = ingest.load(found.where(F.col("path").rlike("/(other|late)[.]")))
-    assert sorted(r.request_id for r in events.collect()) == ["r1", "r2"]
-    assert [(r.path.rsplit("/", 1)[1], r.error) for r in warnings.collect()] == [("late.json.gz", "json: a record does not fit the delivery format")]
+    (tmp_path / "one.json.gz").write_bytes(gzip.compress(delivered(RECORD | {"requestParameters": [pad] * 140}), 1))
+    loaded = ingest.load(ingest.find_files(spark, str(tmp_path)))
+    found = loaded.events.groupBy("path").agg(F.count("*").alias("n"), F.max(F.length("request_parameters")).alias("wide"))
+    assert {r.path.rsplit("/", 1)[1]: (r.n, r.wide > 1 << 20) for r in found.collect()} == {"delivery.json.gz": (140, True), "export.json.gz": (140, True), "other.json.gz": (2, False), "one.json.gz": (1, True)}
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in loaded.warnings.collect()] == [("late.json.gz", ingest.UNFIT)]
 
 
 def test_records_are_cut_alike_at_any_chunk(monkeypatch):
@@ -80,21 +88,166 @@ def test_records_are_cut_alike_at_any_chunk(monkeypatch):
     texts = {
         json.dumps({"Records": records}, ensure_ascii=False): records,
         json.dumps({"x": {"Records": [0]}, "Records": records, "Events": [1]}, indent=2): records,
-        json.dumps({"Events": [{"CloudTrailEvent": "1"}], "Records": records}): records,
-        json.dumps({"Events": records, "y": 12345}): records,
-        json.dumps({"Events": records, "Records": None}): records,
-        '{"Records": [ ]}': [], '{"Records":[],"Events":[1]}': [], '{"Records":[1]} rest': [1],
+        json.dumps({"y": [1], "Records": records, "Other": None}): records,
+        '{"Records": [ ]} ': [], '{"Records":[{"a":1,"a":2}]}': [{"a": 2}],
     }
-    wrong = {"": "not a", "[1]": "no Records", "12": "no Records", "{}": "no Records", '{"Records":{}}': "no Records", '{"Records":[1,]}': "not a", '{"Records":[1]': "not a", '{"Records":[1],"Records":[2]}': "not a", '{"Records":[{"a":1,"a":2}]}': "not a", '{"Records":[NaN]}': "not a", '{"Records":[1] "x":2}': "not a", "not json": "not a", '{"Records":["': "not a"}
+    wrong = ["", '{"Records":[1,]}', '{"Records":[1]', '{"Records":[1]} rest', '{"Records":[NaN]}', '{"Records":[1] "x":2}', "not json", '{"Records":["']
     for size in (1, 2, 3, 7, 1 << 20):
         monkeypatch.setattr(ingest, "CHUNK", size)
         for packing in (bytes, gzip.compress):
             for text, wanted in texts.items():
-                rows = list(ingest.records_of("a.json", packing(text.encode())))
-                assert [json.loads(row[4]) for row in rows if row[4] is not None] == wanted and {row[5] for row in rows} == {None}
-                assert [row[2] for row in rows] == (list(range(len(wanted))) or [None])
-            for text, error in wrong.items():
-                assert list(ingest.records_of("a.json", packing(text.encode())))[-1][5].startswith(f"json: {error}"), text
+                opened = partial(io.BytesIO, packing(text.encode()))
+                found = [part for name, part in ingest.elements(ingest.chunks_of(opened)) if name == "Records"]
+                assert found[0] is None and [json.loads(part) for part in found[1:]] == wanted
+            for text in wrong:
+                assert list(ingest.records_of("a.json", packing(text.encode())))[-1][5] == "json: not a JSON document", text
+
+
+def units(text: str, **more) -> list[tuple]:
+    """(kind, layout, pos, error) of the rows of a unit."""
+    return [(row[0], row[3], row[4], row[5]) for row in ingest.records_of("a.json", text.encode(), **more)]
+
+
+def test_layouts_and_fallback():
+    good, nested = json.dumps(RECORD), json.dumps({"EventId": "1", "CloudTrailEvent": json.dumps(RECORD)})
+    records, events = [("record", "Records", 0, None)], [("record", "Events", 0, None)]
+    missing = "json: no Records in the document"
+
+    def unit(n, error=None):
+        return [("unit", None, n, error)]
+
+    assert units(f'{{"Records":[{good}],"Events":[1]}}') == records + unit(1)
+    assert units(f'{{"Events":[{nested}]}}') == events + unit(1)
+    # A record that does not fit, a member that is no array, one that comes twice: the other layout counts.
+    assert units(f'{{"Records":[{good},{{"eventName":1}}],"Events":[{nested}]}}') == records + [("void", "Records", None, None)] + events + unit(1)
+    for bad in ("null", "{}", '[1]', f'[],"Records":[{good}]'):
+        assert units(f'{{"Records":{bad},"Events":[{nested}]}}')[-2:] == events + unit(1)
+        assert units(f'{{"Records":{bad},"Events":[{nested},{{}}]}}')[-1:] == unit(0, ingest.UNFIT)
+    assert units(f'{{"Events":[{nested}],"Events":[]}}')[-1:] == unit(0, ingest.UNFIT)
+    for other in ("[1]", "12", "{}", '{"Other":[]}'):
+        assert units(other) == unit(0, missing)
+    assert units('{"Records":[],"Events":[1]}') == unit(0)
+    # Broken text behind good records rejects them too.
+    assert units(f'{{"Records":[{good}],') == records + [("void", "Records", None, None)] + unit(0, "json: not a JSON document")
+    assert units(f'{{"Records":[{good},1,{good}]}}', lenient=True) == [*records, ("record", "Records", 1, None), *unit(2)]
+
+
+def fields(text: str) -> dict:
+    return dict(zip([name for name, _ in ingest.GIVEN], ingest.fields_of(text), strict=True))
+
+
+def with_members(members: str) -> str:
+    return json.dumps(RECORD)[:-1] + "," + members + "}"
+
+
+PAYLOADS = ['{"z":1,"a":2}', '{ "b" : [1,\n 2] }', "123456789012345678901234567890123456789012", "1e3", "1.50", '"a text"', '"\\u00e9 \\" /"', '{"a":1,"a":2,"b":{"c":[],"c":1}}', "[]", "true"]
+
+
+@pytest.mark.parametrize("payload", PAYLOADS)
+def test_payloads_stay_as_delivered(payload):
+    found = fields(with_members(f'"responseElements" : {payload} '))
+    assert found["response_elements"] == payload
+    whole = json.dumps({k: v for k, v in RECORD.items() if k != "userIdentity"})
+    found = fields(f'{whole[:-1]},"userIdentity":{{"sessionContext":{payload},"type":"x"}}}}')
+    assert (found["session_context"], found["identity_type"]) == (payload, "x")
+
+
+@pytest.mark.parametrize("members", ['"eventName":"twice"', '"requestParameters":{}', '"userIdentity":{}', '"resources":[]'])
+def test_known_members_come_once(members):
+    with pytest.raises(ingest.Unfit):
+        ingest.fields_of(with_members(members))
+
+
+def test_other_members_are_passed_over():
+    found = fields(with_members('"x":1,"x":[{"eventName":"inner"}],"sharedEventID":5,"requestId":"small"'))
+    assert (found["event_name"], found["shared_event_id"], found["request_id"]) == ("GetObject", None, "r1")
+    assert fields(with_members('"responseElements":null'))["response_elements"] is None
+
+
+@pytest.mark.parametrize("wrong", [{"eventName": None}, {"awsRegion": 1}, {"userIdentity": None}, {"userIdentity": {"arn": 1}}, {"readOnly": "yes"}, {"errorCode": []}, {"resources": None}, {"resources": [1]}, {"resources": [{"ARN": 1}]}, {"userAgent": "\ud800"}])
+def test_wrong_types_do_not_fit(wrong):
+    with pytest.raises(ingest.Unfit):
+        ingest.fields_of(json.dumps(RECORD | wrong))
+
+
+def test_exported_payloads_stay_as_they_are(spark):
+    rows = [event(k, rp=payload, session_context=payload, resources=[("1", "T", "arn:x")]) for k, payload in enumerate([*PAYLOADS, None, "no json"])]
+    lines = {r.record_id: r.line for r in export.full_json(table(spark, rows)).collect()}
+    for k, payload in enumerate(PAYLOADS):
+        shown = payload.replace("\n", " ")
+        assert f'"requestParameters":{shown}}}' in lines[k] and f'"sessionContext":{shown}}},' in lines[k]
+        assert json.loads(lines[k])["resources"] == [{"accountId": "1", "type": "T", "ARN": "arn:x"}]
+    assert all("requestParameters" not in json.loads(lines[k]) for k in (len(PAYLOADS), len(PAYLOADS) + 1))
+
+
+def test_units_are_decoded_once(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"{k}.json").write_bytes(delivered(*[RECORD] * 3, *[{"eventName": 1}] * (k == 2)))
+    calls = spark.sparkContext.accumulator(0)
+    kept = ingest.records_of
+
+    def counted(path, content, lenient=False):
+        calls.add(1)
+        yield from kept(path, content, lenient)
+
+    monkeypatch.setattr(ingest, "records_of", counted)
+    loaded = ingest.load(ingest.find_files(spark, str(tmp_path)))
+    assert loaded.events.count() == 15 and loaded.warnings.count() == 1 and loaded.report.count() == 5
+    assert calls.value == 6
+    assert "MapInArrow" not in loaded.events._jdf.queryExecution().executedPlan().toString()
+
+
+def test_archives_are_read_by_entry(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for k in range(12):
+            archive.writestr(f"{k}.json", delivered(*[RECORD | {"requestID": f"r{k}"}] * (k + 1)))
+        archive.writestr("notes.txt", "no log")
+    with zipfile.ZipFile(tmp_path / "torn.zip", "w") as archive:
+        for k in range(5):
+            archive.writestr(f"{k}.json", delivered(RECORD))
+    torn = (tmp_path / "torn.zip").read_bytes().replace(b"GetObject", b"PutObject", 1)  # the sum of one entry is wrong
+    (tmp_path / "torn.zip").write_bytes(torn)
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    rows = archives.read(spark, str(tmp_path), task_bytes=1)
+    assert rows.rdd.getNumPartitions() == 12 + 5 + 1
+    loaded = ingest.load(None, rows)
+    assert {r.path.rsplit("/", 1)[1]: r.records for r in loaded.report.collect()} == {"many.zip": 78}
+    assert {(r.entry, r.n) for r in loaded.events.groupBy("entry").agg(F.count("*").alias("n")).collect()} == {(k, k + 1) for k in range(12)}
+    assert sorted((r.path.rsplit("/", 1)[1], r.entry, r.error.split(":")[0]) for r in loaded.warnings.collect()) == [("broken.zip", 0, "zip"), ("torn.zip", 0, "zip")]
+    one = archives.read(spark, str(tmp_path / "many.zip"))
+    assert one.rdd.getNumPartitions() == 1 and ingest.load(None, one).events.count() == 78
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert ingest.load(None, archives.read(spark, str(empty))).events.count() == 0
+
+
+def test_only_folders_of_the_window_are_listed(spark, tmp_path):
+    for year in (2023, 2024):
+        for month in (1, 2, 12):
+            for day in range(1, 29):
+                folder = tmp_path / "logs" / "eu" / str(year) / f"{month:02}" / f"{day:02}"
+                folder.mkdir(parents=True)
+                (folder / "a.json").write_bytes(delivered(RECORD | {"eventTime": f"{year}-{month:02}-{day:02}T10:00:00Z"}))
+    other = tmp_path / "logs" / "other" / "2024"
+    other.mkdir(parents=True)
+    (other / "x.json").write_bytes(delivered(RECORD))
+    (tmp_path / "top.json").write_bytes(delivered(RECORD))
+    start, end = 1_705_276_800_000, 1_705_449_600_001  # 2024-01-15 to 2024-01-17
+    plain, seen = ingest.listing(spark), []
+
+    def listed(folder):
+        found = plain(folder)
+        seen.extend(path for path, _ in found)
+        return found
+
+    folders = ingest.files_in_window(spark, str(tmp_path), start, end, listed)
+    assert sorted(path.split(tmp_path.name)[1] for path in folders) == ["/logs/eu/2024/01/15", "/logs/eu/2024/01/16", "/logs/eu/2024/01/17", "/logs/other/2024/x.json", "/top.json"]
+    # Of 168 day folders the 28 of one month are listed, and none of their files.
+    assert not any("/eu/2023/" in path or path.endswith("a.json") for path in seen) and len(seen) < 45
+    found = ingest.load(ingest.find_files(spark, str(tmp_path), start_ms=start, end_ms=end)).events
+    assert found.count() == 5
+    assert ingest.load(ingest.find_files(spark, str(tmp_path), start_ms=1_709_164_800_000)).events.count() == 28 + 2  # from 2024-02-29: December, and other layouts
+    assert ingest.load(ingest.find_files(spark, str(tmp_path), end_ms=1_672_617_600_000)).events.count() == 1 + 1  # before 2023-01-02; folders of a year after it are left out whole
 
 
 def test_keys_by_date(spark):
@@ -116,14 +269,14 @@ def test_writing(spark, tmp_path):
     lines = [r.line for r in export.csv_lines(events).orderBy("ts_ms").collect()]
     assert lines[0].startswith("t,A,ec2.amazonaws.com,us-east-1,198.51.100.7,,arn:") and lines[0].endswith('"line\nbreak"')
     assert '"say ""hi"", now"' in lines[1]
-    export.write_csv(events, f"{tmp_path}/csv")
+    assert export.write_csv(events, f"{tmp_path}/csv") == 2
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{tmp_path}/csv").collect()
     assert {r.userName for r in back} == {None, 'say "hi", now'} and back[0].__fields__ == list(export.CSV_COLUMNS)
-    export.write_json(events, f"{tmp_path}/json")
+    assert export.write_json(events, f"{tmp_path}/json") == 2
     objects_ = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json").collect()]
     assert objects_[0]["requestParameters"] == {"a": [1, {"b": None}]} and objects_[0]["userIdentity"]["arn"].endswith("ann")
     assert export.export_counts(events).first().rows == 2
-    export.write_table(events, f"{tmp_path}/table")
+    assert export.write_table(events, f"{tmp_path}/table") == 2
     assert spark.read.parquet(f"{tmp_path}/table").where("event_date = DATE'2023-11-14'").count() == 2
 
 
