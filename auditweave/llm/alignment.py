@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,13 @@ from auditweave.llm.common import arrow_schema, map_texts, staged
 LONE_SPACE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 #: Characters of a long text that are tokenised at a time.
 SEGMENT = 1 << 18
-#: Bytes (estimated) that a worker remembers, twice over, of words and of windows.
+#: The fields of a part's tokens.
+TOKENS_A, TOKENS_B, WINDOWS = (itemgetter(k) for k in range(3))
+#: Bytes (estimated) that a worker remembers, twice over, of the parts between lone spaces and of windows.
 MEMORY, WINDOW_MEMORY = 48 << 20, 64 << 20
 #: The id pairs whose counts every task gets, at most: 16 bytes each.
 FREQUENT = 1 << 19
-#: No id is so large: stands for a word that a tokeniser does not reproduce, and between the sides of a window.
+#: Between the ids of the two sides of a window; no id is so large.
 UNLIKE = b"\xff\xff\xff\xff"
 #: Links up to which a group's id pairs are listed one by one.
 SMALL_GROUP = 1024
@@ -99,33 +101,36 @@ class Aligner:
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in side]) for side in (self.bytes_a, self.bytes_b))
         # The file numbers its tokens in the order of their merges, which is what the other library's format asks for.
         self.whole = tiktoken.Encoding("bytes", pat_str=SPLIT.pattern, mergeable_ranks={x: k for k, x in enumerate(self.bytes_a) if k not in self.vocab.special.values()}, special_tokens={})
-        self.words_b, self.windows = Memory(self.merge_b), Memory(self.align_windows, WINDOW_MEMORY, times=3)
-
-    def encode_a(self, body: str) -> bytes:
-        """Ids of the byte-level tokeniser for space+body; special strings are plain text."""
-        ids = self.whole.encode_to_numpy(" " + body, disallowed_special=())
-        return self.verified(ids, self.bytes_a, b" " + body.encode())
-
-    def encode_b(self, bodies: list[str]) -> list[bytes]:
-        """Ids of the piece tokeniser for each body, to which it adds a space."""
-        cut = [self.split(body) for body in bodies]
-        known = self.words_b.of(set().union(*cut))
-        return [b"".join([known[word] for word in words]) for words in cut]
+        self.parts, self.windows = Memory(self.tokenise, times=3), Memory(self.align_windows, WINDOW_MEMORY, times=3)
 
     def split(self, body: str) -> list[str]:
+        """The text cut at lone spaces, where each part is tokenised as in the whole."""
         if not self.by_words:
             return [body]
         plain = not ("  " in body or "▁" in body or body.startswith(" ") or body.endswith(" "))
         return body.split(" ") if plain else LONE_SPACE.split(body)
 
-    def merge_b(self, words: list[str]) -> list[bytes]:
-        found = self.pieces.encode(words, num_threads=1)
-        return [self.verified(array("I", ids), self.bytes_b, b" " + word.encode()) for word, ids in zip(words, found, strict=True)]
+    def tokenise(self, parts: list[str]) -> list[tuple[int, int, tuple[bytes, ...]]]:
+        """(tokens of A, tokens of B, windows) of space+part for each; special strings are plain text. -1 tokens stand
+        for a part whose bytes either side does not reproduce.
+
+        A side's tokens are those of the text, B's those of the part, to which it adds the space. The windows end at
+        the verified shared ends before tokens that both sides mark with a space."""
+        coded_b = self.pieces.encode(parts, num_threads=1)
+        coded_a = [self.whole.encode_ordinary(" " + part) for part in parts]
+        like = [self.same(a, self.bytes_a, part) and self.same(b, self.bytes_b, part) for a, b, part in zip(coded_a, coded_b, parts, strict=True)]
+        sides = [[ids for ids, good in zip(side, like, strict=True) if good] for side in (coded_a, coded_b)]
+        out: list = [(-1, -1, ())] * len(parts)
+        if sides[0]:
+            cut = iter(self.cut(*(np.array(list(chain.from_iterable(side)), "<u4") for side in sides), *(np.cumsum(list(map(len, side))) for side in sides)))
+            for k in [k for k, good in enumerate(like) if good]:
+                out[k] = len(coded_a[k]), len(coded_b[k]), next(cut)
+        return out
 
     @staticmethod
-    def verified(ids: array | np.ndarray, texts: list[bytes], whole: bytes) -> bytes:
-        """The ids, or UNLIKE if their bytes are not the text's."""
-        return ids.tobytes() if b"".join([texts[k] for k in ids.tolist()]) == whole else UNLIKE
+    def same(ids: list[int], texts: list[bytes], part: str) -> bool:
+        """Whether the bytes of the tokens are those of space+part."""
+        return b"".join([texts[k] for k in ids]) == b" " + part.encode()
 
     def align_windows(self, keys: list[bytes]) -> list[tuple[str, bytes, bytes]]:
         """Of windows, each given by its ids of both sides: the groups as text, the id pairs as often as they are
@@ -168,21 +173,18 @@ class Aligner:
         last_a = np.flatnonzero(ends_b[at] == ends_a)
         return last_a, at[last_a]
 
-    def cut(self, coded_a: bytes, coded_b: bytes) -> tuple[int, int, int, int, list[bytes]] | None:
-        """(tokens of A, tokens of B, groups, links, windows) of a text from its ids on both sides; nothing if the
-        bytes of either side's tokens are not those of the text."""
-        ids_a, ids_b = np.frombuffer(coded_a, "<u4"), np.frombuffer(coded_b, "<u4")
-        if max(ids_a.max(), ids_b.max()) == 0xFFFFFFFF:
-            return None
+    def cut(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[bytes, ...]]:
+        """The windows of each part of a row of parts, which end after ``ends`` tokens on either side."""
         last_a, last_b = self.shared(ids_a, ids_b)
-        links = int((np.diff(last_a, prepend=-1) * np.diff(last_b, prepend=-1)).sum())
-        marked = self.space_a[ids_a[last_a[:-1] + 1]] & self.space_b[ids_b[last_b[:-1] + 1]]
-        stops_a, stops_b = ([*((last[:-1][marked] + 1) * 4).tolist(), 4 * len(ids)] for last, ids in ((last_a, ids_a), (last_b, ids_b)))
+        marked = np.append(self.space_a[ids_a[last_a[:-1] + 1]] & self.space_b[ids_b[last_b[:-1] + 1]], True)
+        stops_a, stops_b = (last[marked] + 1 for last in (last_a, last_b))
+        coded_a, coded_b = ids_a.tobytes(), ids_b.tobytes()
         windows, a, c = [], 0, 0
-        for b, d in zip(stops_a, stops_b, strict=True):
+        for b, d in zip((4 * stops_a).tolist(), (4 * stops_b).tolist(), strict=True):
             windows.append(coded_a[a:b] + UNLIKE + coded_b[c:d])
             a, c = b, d
-        return len(ids_a), len(ids_b), len(last_a), links, windows
+        at = [0, *np.searchsorted(stops_a, ends_a, side="right").tolist()]
+        return [tuple(windows[i:j]) for i, j in pairwise(at)]
 
     def align(self, texts: list[bytes]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, id pairs ascending, links of each) of each text."""
@@ -200,11 +202,13 @@ class Aligner:
         return [out.row() for out in found]
 
     def settle(self, waiting: list[tuple[Alignment, str]]) -> None:
-        bodies = [body for _, body in waiting]
-        cuts = [self.cut(a, b) for a, b in zip(map(self.encode_a, bodies), self.encode_b(bodies), strict=True)]
-        known = self.windows.of(set().union(*[found[4] for found in cuts if found]))
-        for (out, _), found in zip(waiting, cuts, strict=True):
-            out.add(found, known)
+        cut = [self.split(body) for _, body in waiting]
+        met = set().union(*cut)
+        parts = self.parts.of(met)
+        known = self.windows.of(set(chain.from_iterable([parts[part][2] for part in met])))
+        for (out, _), each in zip(waiting, cut, strict=True):
+            found = [parts[part] for part in each]
+            out.add(found, [known[key] for key in chain.from_iterable(map(WINDOWS, found))])
 
 
 class Alignment:
@@ -214,13 +218,15 @@ class Alignment:
         self.sums, self.digest, self.begun, self.whole = [0, 0, 0, 0], hashlib.sha256(), False, True
         self.pairs = self.links = np.zeros(0, np.int64)
 
-    def add(self, found: tuple | None, known: dict[bytes, tuple[str, bytes, bytes]]) -> None:
-        if found is None:
+    def add(self, parts: list[tuple[int, int, tuple[bytes, ...]]], values: list[tuple[str, bytes, bytes]]) -> None:
+        """A segment: the tokens of its parts, and what align_windows() gave for their windows."""
+        n_a, n_b = sum(map(TOKENS_A, parts)), sum(map(TOKENS_B, parts))
+        if len(values) < len(parts) and any(part[0] < 0 for part in parts):
             self.whole = False
             return
-        self.sums = [a + b for a, b in zip(self.sums, found, strict=False)]
-        values = [known[key] for key in found[4]]
-        self.digest.update(((";" if self.begun else "") + ";".join([v[0] for v in values])).encode())
+        shown = ";".join([v[0] for v in values])
+        self.digest.update(((";" if self.begun else "") + shown).encode())
+        self.sums = [a + b for a, b in zip(self.sums, (n_a, n_b, shown.count("|"), 0), strict=True)]
         met = np.sort(np.frombuffer(b"".join([v[1] for v in values]), np.int64))
         first = np.flatnonzero(np.diff(met, prepend=-1))
         pairs, links = met[first], np.diff(first, append=len(met))
@@ -231,6 +237,7 @@ class Alignment:
             first = np.flatnonzero(np.diff(met[order], prepend=-1))
             pairs, links = met[order][first], np.add.reduceat(links[order], first)
         self.pairs, self.links, self.begun = pairs, links, True
+        self.sums[3] = int(links.sum())
 
     def row(self) -> tuple:
         if not (self.begun and self.whole):

@@ -85,7 +85,7 @@ def test_segments_and_memory_change_nothing(monkeypatch):
     want = HELD.align([t.encode() for t in texts])
     monkeypatch.setattr(alignment, "SMALL_GROUP", 1)
     small = alignment.Aligner(*PATHS)
-    for memory in (small.words_b, small.windows):
+    for memory in (small.parts, small.windows):
         memory.limit = 2000
     monkeypatch.setattr(alignment, "segments", lambda text, cut=alignment.segments: cut(text, 100))
     for _ in range(2):
