@@ -1,8 +1,9 @@
 """Bursts: at least n events within a time window, for each key or over all events.
 
 A busy key may hold a third of all events, so no window runs over a whole key. Time is cut into buckets as
-long as the window; each event goes to its own bucket and the next, where the n-th event before it is found
-among rows of two windows at most. Hits then meet by aggregation and join."""
+long as the window; each event goes to its own bucket and the next. Buckets that hold fewer than n events are counted
+out before any sort; in the others the n-th event before each is found among rows of two windows at most. Hits then
+meet by aggregation and join. Keys are not null."""
 
 from __future__ import annotations
 
@@ -19,6 +20,10 @@ def hits(events: DataFrame, n: Column | int, window_ms: Column | int, key: list[
     n, window_ms = (F.lit(x) if isinstance(x, int) else x for x in (n, window_ms))
     dealt = events.withColumn("__n", n).withColumn("__w", window_ms.cast("long")).withColumn("__home", F.floor(F.col("ts_ms") / F.col("__w")))
     dealt = dealt.withColumn("__bucket", F.explode(F.array(F.col("__home"), F.col("__home") + 1)))
+    # A hit's window lies in its bucket and the one before, all of whose events are dealt to it: where those are
+    # fewer than n there is none. Counting needs no sort, and most buckets leave here.
+    busy = dealt.groupBy(*key, "__bucket").agg(F.count("*").alias("__held"), F.max("__n").alias("__least")).where("__held >= __least")
+    dealt = dealt.join(busy.select(*key, "__bucket"), [*key, "__bucket"], "left_semi")
     order = Window.partitionBy(*key, "__bucket").orderBy("ts_ms", "record_id")
     back = F.lit(None).cast("long")
     for count in sorted(set(counts)):

@@ -5,7 +5,13 @@ record_id, ts_ms, actor); alerts are its aggregate."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.functions.columns import actor, actor_or_ip
@@ -122,40 +128,71 @@ def in_range(found: DataFrame, start: int | None, end: int | None) -> DataFrame:
     return found if start is None or end is None else found.where(F.col("ts_ms").between(start, end))
 
 
+def summaries(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(rule_id, matching_count, first_ms, last_ms, matching_record_ids, offenders) from one pass over alert_events.
+
+    A task passes on a row a rule, with the ``sample`` smallest ids and burst keys that it met; these rows are merged
+    in two steps, so that no value holds more than ``sample`` entries of each of some tasks."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([("rule_id", "ascending"), ("record_id", "ascending")])
+            rules, starts = np.unique(np.asarray(table["rule_id"]), return_index=True)
+            for rule, part in zip(rules, (table.slice(i, j - i) for i, j in pairwise([*starts.tolist(), len(table)])), strict=True):
+                n, first, last, ids, keys = held.get(rule, [0, 1 << 62, -(1 << 62), [], []])
+                span = pc.min_max(part["ts_ms"]).as_py()
+                named = {k for k in pc.unique(part["key"]).to_pylist() if k}
+                ids = sorted(ids + part["record_id"].slice(0, sample).to_pylist())[:sample]
+                held[rule] = [n + len(part), min(first, span["min"]), max(last, span["max"]), ids, sorted(named.union(keys))[:sample]]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+        rows = [[rule, *values] for rule, values in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)], names=["rule_id", "n", "first_ms", "last_ms", "ids", "keys"])
+
+    def merged(rows: DataFrame, *by: str) -> DataFrame:
+        def least(name: str) -> Column:
+            return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))) if name == "keys" else F.array_sort(F.flatten(F.collect_list(name)))), 1, sample).alias(name)
+
+        return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), least("ids"), least("keys"))
+
+    parts = found.select("rule_id", "record_id", "ts_ms", "key").mapInArrow(meet, "rule_id string, n long, first_ms long, last_ms long, ids array<long>, keys array<string>")
+    some = merged(parts.withColumn("team", F.spark_partition_id() % 64), "rule_id", "team")
+    names = {"n": "matching_count", "ids": "matching_record_ids", "keys": "offenders"}
+    return merged(some, "rule_id").withColumnsRenamed(names)
+
+
 def assemble(found: DataFrame, rules: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """alerts: one row a rule with events - full count, the ``sample`` smallest ids and the ``sample`` first
-    of those who offended (alert_events has all ids, metadata all offenders) - gravest first, then in
-    catalogue order."""
-    counts = found.groupBy("rule_id").agg(F.count("*").alias("matching_count"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
-    nth = F.row_number().over(Window.partitionBy("rule_id").orderBy("record_id"))
-    ids = found.select("rule_id", "record_id").withColumn("nth", nth).where(F.col("nth") <= sample)
-    sampled = ids.groupBy("rule_id").agg(F.array_sort(F.collect_list("record_id")).alias("matching_record_ids"))
-    offenders = found.where("key <> ''").select("rule_id", "key").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("rule_id").orderBy("key")))
-    named = offenders.where(F.col("nth") <= sample).groupBy("rule_id").agg(F.array_sort(F.collect_list("key")).alias("offenders"))
-    rows = counts.join(F.broadcast(rules), "rule_id").join(sampled, "rule_id").join(named, "rule_id", "left")
+    of those who offended (alert_events has all) - gravest first, then in catalogue order. The evidence query of a rule
+    with a single offender is narrowed to them in each of its alternatives."""
+    rows = summaries(found, sample).join(F.broadcast(rules), "rule_id")  # a row a rule
     one = F.when(F.size("offenders") == 1, F.col("offenders")[0])
     field = F.when(F.col("rule_id") == "IA-04", "sourceIPAddress").when(one.startswith("arn:"), "arn").otherwise("userName")
-    scoped = F.when(one.isNotNull() & (one != "unknown"), F.concat(F.col("query"), F.lit(" "), field, F.lit('="'), one, F.lit('"'))).otherwise(F.col("query"))
+    scope = F.concat(F.lit(" "), field, F.lit('="'), one, F.lit('"'))
+    scoped = F.concat(F.replace("query", F.lit(" OR "), F.concat(scope, F.lit(" OR "))), scope)
+    narrowed = F.when(one.isNotNull() & (one != "unknown"), scoped).otherwise(F.col("query"))
     described = F.format_string("%s: %d event(s)", F.coalesce("about", "title"), F.col("matching_count"))
-    out = rows.withColumn("query", scoped).withColumn("description", described).withColumn("offenders", F.coalesce("offenders", F.array().cast("array<string>"))).drop("about")
+    out = rows.withColumn("query", narrowed).withColumn("description", described).drop("about")
     return out.orderBy(F.desc("severity_rank"), "ordinal")
 
 
 def metadata(found: DataFrame, events: DataFrame, rules: list[Rule], custom: list[dict] | None = None) -> DataFrame:
     """(rule_id, metadata): the further facts of each alert as a map of texts; alerts of the user rules
-    ``custom`` say that they are custom."""
+    ``custom`` say that they are custom. Offenders are named up to SAMPLE, and counted in ``offenders``."""
     facts = {name: [r.rule_id for r in rules if name in r.facts] for name in ("count", "offending_ips", "threshold", "identities", "total_bytes_out", "object_count", "total_run_instances")}
-    keys = found.where("key IS NOT NULL").select("rule_id", "key").distinct().groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_list("key")), ", ").alias("keys"))
+    keys = summaries(found.where("key <> ''")).select("rule_id", F.array_join("offenders", ", ").alias("keys"))
+    often = found.where("key <> ''").select("rule_id", "key").distinct().groupBy("rule_id").agg(F.count("*").alias("n_keys"))
     reads = object_reads(events).select("record_id", "bytes_out")
     read = found.where("rule_id = 'EX-03'").join(reads, "record_id").groupBy("rule_id").agg(F.sum("bytes_out").alias("bytes"))
     started = events.where("event_name = 'RunInstances'").agg(F.count("*").alias("started")).withColumn("rule_id", F.lit("IM-01"))
-    rows = found.groupBy("rule_id").agg(F.count("*").alias("n")).join(keys, "rule_id", "left").join(read, "rule_id", "left").join(started, "rule_id", "left")
+    rows = found.groupBy("rule_id").agg(F.count("*").alias("n")).join(keys, "rule_id", "left").join(often, "rule_id", "left").join(read, "rule_id", "left").join(started, "rule_id", "left")
     limits = {r.rule_id: r.burst.n for r in rules if r.burst}
     values = {
         "count": F.col("n"), "offending_ips": F.col("keys"), "identities": F.col("keys"), "total_bytes_out": F.col("bytes"),
         "object_count": F.col("n"), "total_run_instances": F.col("started"), "threshold": F.lit(limits.get("IA-04", 0)),
     }
     entries = [F.when(F.col("rule_id").isin(ids), F.struct(F.lit(name).alias("k"), values[name].cast("string").alias("v"))) for name, ids in facts.items()]
+    entries.append(F.when(F.col("n_keys").isNotNull(), F.struct(F.lit("offenders").alias("k"), F.col("n_keys").cast("string").alias("v"))))
     if custom:
         entries.append(F.when(F.col("rule_id").isin([rule["id"] for rule in custom]), F.struct(F.lit("source").alias("k"), F.lit("custom").alias("v"))))
     return rows.select("rule_id", F.map_from_entries(F.array_compact(F.array(*entries))).alias("metadata"))
@@ -175,8 +212,9 @@ def run(events: DataFrame, places: DataFrame | None = None, custom: list[dict] |
     if good:
         found = found.unionByName(custom_rules.alert_events(events, good))
         table = table.unionByName(custom_rules.rule_table(events, good, len(rules) + 2))
-    # Assembly reads the flagged events several times.
-    found = staged(in_range(found, start, end), "alert-events")
+    found = in_range(found, start, end)
+    if facts:  # these read the flagged events again
+        found = staged(found, "alert-events")
     alerts = assemble(found, table)
     if facts:
         alerts = alerts.join(metadata(found, events, rules, good), "rule_id").orderBy(F.desc("severity_rank"), "ordinal")
@@ -188,3 +226,8 @@ def evidence(events: DataFrame, alert_query: str) -> DataFrame:
     from auditweave.operators.search import search
 
     return search(events, alert_query)
+
+
+def flagged(events: DataFrame, found: DataFrame, rule_id: str) -> DataFrame:
+    """The events that a rule flags, exactly: those whose ids alert_events has for it."""
+    return events.join(found.where(F.col("rule_id") == rule_id).select("record_id").distinct(), "record_id", "left_semi")

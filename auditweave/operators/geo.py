@@ -8,33 +8,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.functions.columns import actor
-from auditweave.functions.ip import ip_key, ip_private
+from auditweave.functions.ip import ip_key, is_public
+from auditweave.functions.staging import staged
 
 
 def public_ips(events: DataFrame) -> DataFrame:
     """(source_ip, ip_key): the distinct public addresses. Parsing runs on distinct texts only."""
     distinct = events.where("source_ip IS NOT NULL").select("source_ip").distinct()
-    return distinct.withColumn("private", ip_private("source_ip")).where("NOT private").select("source_ip", ip_key("source_ip").alias("ip_key"))
+    return distinct.withColumn("ip_key", ip_key("source_ip")).where(is_public(F.col("source_ip"), F.col("ip_key")))
+
+
+def in_order(ips: DataFrame, ranges: DataFrame, fields: list[str]) -> DataFrame:
+    """(part, at, kind, range, source_ip): range starts (kind 0) and addresses (kind 1) together in address order, cut
+    into parts at bounds that Spark samples from them, so that parts are even however addresses crowd."""
+    held = F.struct("end_key", *fields)
+    marks = ranges.select(F.col("start_key").alias("at"), F.lit(0).alias("kind"), held.alias("range"), F.lit(None).cast("string").alias("source_ip"))
+    points = ips.select(F.col("ip_key").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["range"].dataType).alias("range"), "source_ip")
+    parts = int(ips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return marks.unionByName(points).repartitionByRange(parts, "at", "kind", "source_ip").withColumn("part", F.spark_partition_id())
 
 
 def in_ranges(ips: DataFrame, ranges: DataFrame, fields: list[str]) -> DataFrame:
     """(source_ip, fields) of each address inside a range: the last range that starts at or before it, if it
-    has not ended. Ranges are disjoint, so addresses and range starts are ordered together inside a prefix
-    (the family, and the first 8 bits of IPv4 or 12 of IPv6); a range over several prefixes is entered under
-    each."""
-    lo, hi = (F.conv(F.substring(c, 2, 8), 16, 10).cast("long") for c in ("start_key", "end_key"))
-    family_4 = F.substring("start_key", 1, 1) == "4"
-    lo4, hi4 = (F.conv(F.substring(c, 26, 2), 16, 10).cast("long") for c in ("start_key", "end_key"))
-    shift = 1 << 20
-    first, last = F.when(family_4, lo4).otherwise(F.floor(lo / shift)), F.when(family_4, hi4).otherwise(F.floor(hi / shift))
-    dealt = ranges.withColumn("bucket", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("family", F.substring("start_key", 1, 1))
-    own = F.when(F.substring("ip_key", 1, 1) == "4", F.conv(F.substring("ip_key", 26, 2), 16, 10).cast("long")).otherwise(F.floor(F.conv(F.substring("ip_key", 2, 8), 16, 10).cast("long") / shift))
-    asked = ips.withColumn("bucket", own.cast("long")).withColumn("family", F.substring("ip_key", 1, 1))
-    held = F.struct("end_key", *fields)
-    marks = dealt.select("family", "bucket", F.col("start_key").alias("at"), held.alias("range"), F.lit(None).cast("string").alias("source_ip"), F.lit(0).alias("kind"))
-    points = asked.select("family", "bucket", F.col("ip_key").alias("at"), F.lit(None).cast(marks.schema["range"].dataType).alias("range"), "source_ip", F.lit(1).alias("kind"))
-    order = Window.partitionBy("family", "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = marks.unionByName(points).withColumn("hit", F.last("range", ignorenulls=True).over(order)).where("kind = 1 AND at <= hit.end_key")
+    has not ended. Ranges are disjoint, so one pass in address order finds it; what is open at the end of a part is
+    carried over to the next ones by a row a part."""
+    dealt = staged(in_order(ips, ranges, fields), "ip-ranges")
+    ends = dealt.where("kind = 0").groupBy("part").agg(F.max_by("range", "at").alias("range")).select((F.col("part") + 1).alias("part"), "range")
+    starts = dealt.select("part").distinct().join(ends, "part", "full")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a part
+    carried = starts.select("part", F.last("range", ignorenulls=True).over(before).alias("carried"))
+    order = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = F.coalesce(F.last("range", ignorenulls=True).over(order), F.col("carried"))
+    found = dealt.join(F.broadcast(carried), "part").withColumn("hit", open_).where("kind = 1 AND at <= hit.end_key")
     return found.select("source_ip", *[F.col(f"hit.{name}").alias(name) for name in fields])
 
 

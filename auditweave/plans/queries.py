@@ -334,13 +334,13 @@ def plain_sql() -> str:
     return " UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, record_id, ts_ms, {ACTOR} AS actor FROM trail WHERE {predicate(r, DUCKDB)}" for r in RULES if not r.burst)
 
 
-def burst_sql() -> str:
+def burst_sql(stretch: int = STRETCH) -> str:
     keys = {"actor": ACTOR, "actor_or_ip": "coalesce(user_arn, user_name, source_ip, 'unknown')", "ip": "source_ip", "": "''"}
     parts = []
     for r in RULES:
         if r.burst:
             source = f"(SELECT record_id, ts_ms, {ACTOR} AS actor, {keys[r.burst.key]} AS key FROM trail WHERE {predicate(r, DUCKDB)})"
-            window = r.burst.minutes * 60_000 * STRETCH
+            window = r.burst.minutes * 60_000 * stretch
             parts.append(f"SELECT * FROM ({first_burst_sql(source, 'key', r.burst.n, window, r.rule_id) if r.burst.key else all_burst_sql(source, r.burst.n, window, r.rule_id)})")
     return " UNION ALL ".join(parts)
 
@@ -371,6 +371,12 @@ def _(t):
     return detect.burst_events(t, RULES, STRETCH).drop("key")
 
 
+@over_trail("rule_bursts_as_set", burst_sql(1))
+def _(t):
+    """The catalogue's own windows."""
+    return detect.burst_events(t, RULES).drop("key")
+
+
 def alert_sql(source: str, where: str = "true") -> str:
     rules = ", ".join(f"('{r.rule_id}', '{r.severity}', {SEVERITIES[r.severity]}, '{r.tactic}', '{r.service}')" for r in RULES + GEO_RULES)
     return f""", ae AS ({source}), rules(rule_id, severity, severity_rank, mitre_tactic, service) AS (VALUES {rules}),
@@ -408,10 +414,12 @@ def _(t):
     return stats.filter_alerts(detect.run(t, stretch=STRETCH), "s3", "medium").where("service = 'S3'").select("rule_id", "matching_count")
 
 
+KEYED = ", ".join(f"'{r.rule_id}'" for r in RULES if r.burst and r.burst.key)
 METADATA = READS + f""", ae AS ({ALL_RULES}),
 keyed AS (SELECT rule_id, record_id, CASE rule_id WHEN 'IA-04' THEN source_ip WHEN 'DI-03' THEN coalesce(user_arn, user_name, source_ip, 'unknown') ELSE actor END AS key FROM ae JOIN trail USING (record_id))
 SELECT rule_id, 'count' AS name, CAST(count(*) AS VARCHAR) AS value FROM ae WHERE rule_id IN ('IA-03', 'PE-01', 'DE-01', 'DI-02') GROUP BY 1
-UNION ALL SELECT rule_id, CASE rule_id WHEN 'IA-04' THEN 'offending_ips' ELSE 'identities' END, string_agg(DISTINCT key, ', ' ORDER BY key) FROM keyed WHERE rule_id IN ('IA-04', 'DI-03', 'EX-03', 'IM-02', 'IM-04', 'IM-05', 'IM-06') GROUP BY 1
+UNION ALL SELECT rule_id, CASE rule_id WHEN 'IA-04' THEN 'offending_ips' ELSE 'identities' END, string_agg(key, ', ' ORDER BY key) FROM (SELECT rule_id, key FROM keyed WHERE rule_id IN ({KEYED}) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY key) <= 100) WHERE rule_id <> 'CA-02' GROUP BY 1
+UNION ALL SELECT rule_id, 'offenders', CAST(count(DISTINCT key) AS VARCHAR) FROM keyed WHERE rule_id IN ({KEYED}) GROUP BY 1
 UNION ALL SELECT DISTINCT rule_id, 'threshold', '5' FROM ae WHERE rule_id = 'IA-04'
 UNION ALL SELECT rule_id, 'object_count', CAST(count(*) AS VARCHAR) FROM ae WHERE rule_id = 'EX-03' GROUP BY 1
 UNION ALL SELECT rule_id, 'total_bytes_out', CAST(sum(bytes_out) AS VARCHAR) FROM ae JOIN reads USING (record_id) WHERE rule_id = 'EX-03' GROUP BY 1
@@ -435,8 +443,9 @@ firsts AS (SELECT * FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTIT
 named AS (SELECT rule_id, count(*) AS n, min(key) AS one, string_agg(key, ',' ORDER BY key) AS offenders FROM firsts GROUP BY 1),
 counts AS (SELECT rule_id, count(*) AS events FROM ae GROUP BY 1)
 SELECT rule_id, title || ': ' || CAST(events AS VARCHAR) || ' event(s)' AS description, coalesce(offenders, '') AS offenders, CASE WHEN rule_id LIKE 'CR-%' THEN 'custom' END AS source,
-query || CASE WHEN n = 1 AND one <> 'unknown' THEN ' ' || CASE WHEN rule_id = 'IA-04' THEN 'sourceIPAddress' WHEN one LIKE 'arn:%' THEN 'arn' ELSE 'userName' END || '="' || one || '"' ELSE '' END AS query
-FROM counts JOIN rules USING (rule_id) LEFT JOIN named USING (rule_id)"""
+CASE WHEN scope IS NULL THEN query ELSE replace(query, ' OR ', scope || ' OR ') || scope END AS query
+FROM (SELECT *, CASE WHEN n = 1 AND one <> 'unknown' THEN ' ' || CASE WHEN rule_id = 'IA-04' THEN 'sourceIPAddress' WHEN one LIKE 'arn:%' THEN 'arn' ELSE 'userName' END || '="' || one || '"' END AS scope
+  FROM counts JOIN rules USING (rule_id) LEFT JOIN named USING (rule_id))"""
 
 
 @over_trail("alert_evidence", f"SELECT {ROW} FROM trail WHERE event_name IN ('StopLogging', 'DeleteTrail', 'UpdateTrail')")
@@ -444,6 +453,11 @@ def _(t):
     return detect.evidence(t, next(r for r in RULES if r.rule_id == "DE-01").evidence_query()).selectExpr(*ROW.split(", "))
 
 
+@over_trail("alert_flagged", f", ae AS ({ALL_RULES}) SELECT {ROW} FROM trail WHERE record_id IN (SELECT record_id FROM ae WHERE rule_id = 'PE-07')")
+def _(t):
+    return detect.flagged(t, detect.alert_events(t, stretch=STRETCH), "PE-07").selectExpr(*ROW.split(", "))
+
+
 def custom_sql() -> str:
     threshold = f"SELECT record_id, ts_ms, {ACTOR} AS actor FROM trail WHERE event_name = 'AssumeRole' AND error_code = 'AccessDenied'"
     return f"""SELECT 'CR-01' AS rule_id, record_id, ts_ms, {ACTOR} AS actor FROM trail WHERE event_name = 'GetSecretValue' AND aws_region NOT IN ('us-east-1', 'eu-west-1')

@@ -1,7 +1,8 @@
 """Audit events derived from the driver's ``events`` table, alike in Spark and in DuckDB.
 
 The derivation is one SELECT; what the two engines spell differently is filled in. It meets every rule's
-names and payloads, shares addresses and identities, and leaves some fields null."""
+names and payloads, has bursts within minutes, logins from elsewhere, and addresses and identities that are shared,
+and leaves some fields null."""
 
 from __future__ import annotations
 
@@ -32,15 +33,18 @@ FITTING = {
     "UpdateTrail": '{"name":"t","s3BucketName":"elsewhere"}', "SetTopicAttributes": '{"attributeName":"KmsMasterKeyId","attributeValue":""}',
     "SetQueueAttributes": '{"attributes":{"KmsMasterKeyId":""}}', "ModifyInstanceMetadataOptions": '{"instanceId":"i1","httpTokens":"optional"}',
 }
+#: Those denied a role, who come within a few minutes of a day, as do busy names of one identity.
+DENIED = "(kind = 'error' AND k % 2 = 0 AND user_id % 4 = 3)"
 REGIONS = ["us-east-1", "us-west-2", "eu-west-1", "ap-south-1"]
 
 SELECT = """
-SELECT record_id, ts_ms, record_id AS source_id,
-  CASE WHEN kind = 'view' THEN 'GetObject' WHEN kind = 'signup' THEN 'ConsoleLogin'
+SELECT record_id, record_id AS source_id,
+  CASE WHEN kind = 'purchase' AND k < 90 AND user_id = 7 OR {denied} THEN ts_ms - ts_ms % 86400000 + (record_id * 7919) % 240000 ELSE ts_ms END AS ts_ms,
+  CASE WHEN kind = 'view' THEN 'GetObject' WHEN kind = 'signup' THEN 'ConsoleLogin' WHEN {denied} THEN 'AssumeRole'
        WHEN kind = 'purchase' THEN {busy} ELSE {name} END AS event_name,
   CASE WHEN kind = 'view' THEN 's3.amazonaws.com' WHEN kind = 'signup' THEN 'signin.amazonaws.com' ELSE 'ec2.amazonaws.com' END AS event_source,
   {region} AS aws_region,
-  CASE WHEN k = 99 THEN NULL WHEN k = 98 THEN '10.0.0.' || CAST(user_id % 200 AS {text})
+  CASE WHEN kind = 'signup' AND k % 10 = 7 THEN '198.51.' || CAST((user_id * 7 + 13) % 100 AS {text}) || '.9' WHEN k = 99 THEN NULL WHEN k = 98 THEN '10.0.0.' || CAST(user_id % 200 AS {text})
        ELSE '198.51.' || CAST(user_id % 100 AS {text}) || '.' || CAST(record_id % 2 AS {text}) END AS source_ip,
   CASE WHEN user_id % 3 = 0 THEN 'cli/2.1' WHEN user_id % 3 = 1 THEN 'Console, "web"' ELSE NULL END AS user_agent,
   CASE WHEN k IN (0, 50) OR record_id % 41 = 5 THEN 'Root' WHEN user_id % 2 = 0 THEN 'IAMUser' ELSE 'AssumedRole' END AS identity_type,
@@ -73,7 +77,7 @@ def derivation(source: str, spark: bool) -> str:
     return SELECT.format(
         busy=listed(BUSY, f"(record_id + k) % {len(BUSY)}", spark), name=listed(NAMES, named, spark), fitting=listed([FITTING.get(name, PAYLOADS[0]) for name in NAMES], named, spark),
         region=listed(REGIONS, f"user_id % {len(REGIONS)}", spark), payload=listed(PAYLOADS, place, spark), place=place, bucket_at=len(PAYLOADS) - 1,
-        text="STRING" if spark else "VARCHAR", source=source,
+        text="STRING" if spark else "VARCHAR", source=source, denied=DENIED,
     )
 
 

@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+import ipaddress
+import random
+from itertools import pairwise
+
 import pytest
+from pyspark.sql import functions as F
 
+from auditweave.functions.ip import ip_key, is_public
 from auditweave.operators import custom_rules, detect, geo, stats
 from auditweave.plans.catalogue import GEO_RULES, RULES
 from tests.audit import event, table
@@ -120,7 +126,7 @@ def test_download_burst_metadata(spark):
     rows = [event(k, "GetObject", minute=k * 0.01, bucket_name="b", rp={"bucketName": "b", "key": "x"}, extra={"bytesTransferredOut": 10.9}) for k in range(50)]
     events = table(spark, rows)
     facts = {r.rule_id: r.metadata for r in detect.metadata(detect.alert_events(events), events, RULES).collect()}
-    assert facts["EX-03"] == {"identities": "arn:aws:iam::123456789012:user/ann", "total_bytes_out": "500", "object_count": "50"}
+    assert facts["EX-03"] == {"identities": "arn:aws:iam::123456789012:user/ann", "total_bytes_out": "500", "object_count": "50", "offenders": "1"}
 
 
 def test_custom_rules(spark):
@@ -153,7 +159,9 @@ def test_custom_rules(spark):
 
 
 def places(spark):
-    from auditweave.functions.ip import key_of
+    def key_of(text):
+        ip = ipaddress.ip_address(text)
+        return f"{ip.version}{int(ip):032x}"
 
     rows = [("198.51.0.0", "198.51.127.255", "AA", 1), ("198.51.128.0", "198.52.255.255", "BB", 0), ("2001:db8::", "2001:db8:ffff::", "CC", 3)]
     return spark.createDataFrame([(key_of(a), key_of(b), c, f"name {c}", None, 1.0, 2.0, n, f"org {c}") for a, b, c, n in rows], "start_key string, end_key string, country_code string, country_name string, city string, lat double, lon double, asn int, asn_org string")
@@ -169,6 +177,67 @@ def test_addresses(spark):
     assert [r.country_code for r in listed][:5] == ["AA", "AA", "BB", "BB", "CC"] and len(listed) == 11
 
 
+def test_address_keys(spark):
+    rng = random.Random(4)
+    texts = ["::", "::1", "0:0:0:0:0:0:0:1", "1::", "::ffff:1.2.3.4", "1:2:3:4:5:6:7.8.9.10", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::8::9", ":::", "1:2", ":1:2:3:4:5:6:7", "12345::", "g::", "", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "::1.2.3.400", "1.2.3.4::", "FE80::ABC", " 1.2.3.4", "172.15.0.1", "172.16.0.1", "172.31.9.9", "172.32.0.0", "192.168.0.1", "255.255.255.255", "0.0.0.0", "0.0.0.1", "169.254.3.4", "127.9.9.9", "10.0.0.0", "11.0.0.0", "1:2:3:4:5:6:7:8:9", "::1:2:3:4:5:6:7:8"]
+    for _ in range(300):
+        parts = [f"{rng.randrange(1 << rng.choice([4, 16])):x}" for _ in range(rng.choice([8, 8, 7, 3]))]
+        cut = rng.randrange(len(parts))
+        texts += [":".join(parts), ":".join(parts[:cut]) + "::" + ":".join(parts[cut:]), ".".join(str(rng.randrange(280)) for _ in range(4))]
+
+    def wanted(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return None, False
+        nets = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "255.255.255.255/32", "0.0.0.0/32")
+        skipped = ip.is_loopback or ip.is_unspecified if ip.version == 6 else any(ip in ipaddress.ip_network(net) for net in nets)
+        return f"{ip.version}{int(ip):032x}", not skipped
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("key", ip_key("t"))
+    for r in frame.withColumn("public", is_public(F.col("t"), F.col("key"))).collect():
+        assert (r.key, r.public) == wanted(r.t), r.t
+
+
+def test_range_join_of_crowded_addresses(spark):
+    """All addresses in one /12, most in one /64; ranges of all lengths, one over everything at the end."""
+    rng = random.Random(7)
+    ips = [f"2001:db8:{rng.randrange(3) * (rng.random() < 0.2):x}::{rng.randrange(1 << 16):x}:{rng.randrange(1 << 16):x}" for _ in range(3000)]
+    bounds = sorted(rng.sample(range(1 << 32), 400))
+    base = int(ipaddress.ip_address("2001:db8::"))
+    ranges = [(base + a, base + b - (k % 2), k) for k, (a, b) in enumerate(pairwise(bounds)) if k % 3] + [(base + (1 << 33), base + (1 << 100), 999)]
+    table_ = spark.createDataFrame([(f"6{a:032x}", f"6{b:032x}", k) for a, b, k in ranges], "start_key string, end_key string, nth int")
+    found = geo.public_ips(table(spark, [event(k, source_ip=ip) for k, ip in enumerate(ips)]))
+    sizes = [r["count"] for r in geo.in_order(found, table_, ["nth"]).groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    want = {}
+    for ip in ips:
+        at = int(ipaddress.ip_address(ip))
+        want |= {ip: k for a, b, k in ranges if a <= at <= b}
+    assert {r.source_ip: r.nth for r in geo.in_ranges(found, table_, ["nth"]).collect()} == want
+
+
+def test_alerts_in_one_pass(spark):
+    rng = random.Random(2)
+    rows = [(f"R{rng.randrange(3)}", rng.randrange(500), rng.randrange(10_000), rng.choice([None, "", *(f"k{j}" for j in range(30))])) for _ in range(2000)]
+    found = spark.createDataFrame(rows, "rule_id string, record_id long, ts_ms long, key string").repartition(7)
+    for r in detect.summaries(found, 10).collect():
+        mine = [x for x in rows if x[0] == r.rule_id]
+        assert (r.matching_count, r.first_ms, r.last_ms) == (len(mine), min(x[2] for x in mine), max(x[2] for x in mine))
+        assert r.matching_record_ids == sorted(x[1] for x in mine)[:10] and r.offenders == sorted({x[3] for x in mine if x[3]})[:10]
+    assert detect.summaries(found.limit(0)).count() == 0
+
+
+def test_evidence_is_narrowed_in_every_alternative(spark):
+    rows = [event(k, "DeleteRole", minute=k * 0.01) for k in range(6)] + [event(10 + k, "TerminateFleet", minute=k * 0.01) for k in range(6)]
+    rows += [event(30, "DeleteRole", user_arn="arn:other"), event(31, "RemoveTags", user_arn="arn:other")]
+    alert = {r.rule_id: r for r in detect.run(table(spark, rows)).collect()}["IM-02"]
+    assert alert.query.count(" OR ") >= 3 and alert.query.count('arn="arn:aws:iam::123456789012:user/ann"') == alert.query.count(" OR ") + 1
+    assert {r.record_id for r in detect.evidence(table(spark, rows), alert.query).collect()} == {*range(6), *range(10, 16)}
+    flagged = detect.flagged(table(spark, rows), detect.alert_events(table(spark, rows)), "IM-02")
+    assert flagged.count() == alert.matching_count
+
+
 def test_geo_rules(spark):
     rows = [
         event(1, source_ip="198.51.0.1"), event(2, source_ip="198.52.0.1"), event(3, source_ip="10.0.0.1"),
