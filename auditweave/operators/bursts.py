@@ -18,8 +18,8 @@ def hits(events: DataFrame, n: Column | int, window_ms: Column | int, key: list[
     n may be a column over the numbers ``counts``, and window_ms a column, both fixed for a key."""
     counts = [n] if isinstance(n, int) else counts
     n, window_ms = (F.lit(x) if isinstance(x, int) else x for x in (n, window_ms))
-    dealt = events.withColumn("__n", n).withColumn("__w", window_ms.cast("long")).withColumn("__home", F.floor(F.col("ts_ms") / F.col("__w")))
-    dealt = dealt.withColumn("__bucket", F.explode(F.array(F.col("__home"), F.col("__home") + 1)))
+    home = F.floor(F.col("ts_ms") / window_ms)
+    dealt = events.select("*", n.alias("__n"), window_ms.cast("long").alias("__w"), home.alias("__home"), F.explode(F.array(home, home + 1)).alias("__bucket"))
     # A hit's window lies in its bucket and the one before, all of whose events are dealt to it: where those are
     # fewer than n there is none. Counting needs no sort, and most buckets leave here.
     busy = dealt.groupBy(*key, "__bucket").agg(F.count("*").alias("__held"), F.max("__n").alias("__least")).where("__held >= __least")

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditweave.functions import columns
@@ -285,6 +285,20 @@ def _(t):
     return sessions.list_sessions(sessions.sessions(sessions.session_events(t)), "USER/U1", ".1", EARLY, LATE, "duration").select(*session_columns())
 
 
+def ranked(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of an ordered result with their place, since results are compared without order."""
+    return rows.limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+SESSION_ID = "sha256(concat_ws('|', identity, ip, CAST(first_ms AS VARCHAR), CAST(first_id AS VARCHAR)))"
+
+
+@over_trail("session_list_order", MARKED + f" SELECT identity, ip, first_id, row_number() OVER (ORDER BY errors DESC, {SESSION_ID})::INTEGER AS place FROM found QUALIFY place <= 100")
+def _(t):
+    listed = sessions.list_sessions(sessions.sessions(sessions.session_events(t)), order="errors")
+    return ranked(listed, 100, F.desc("errors"), F.col("session_id")).select("identity", "ip", first_id(), "place")
+
+
 @over_trail("session_numbers", MARKED + " SELECT identity, ip, first_id, row_number() OVER (ORDER BY first_ms, first_id) - 1 AS number FROM found")
 def _(t):
     return sessions.numbered(sessions.sessions(sessions.session_events(t))).select("identity", "ip", first_id(), F.col("number").cast("long").alias("number"))
@@ -394,6 +408,11 @@ def _(t):
     return detect.run(t, stretch=STRETCH).select(*ALERT, F.array_join("matching_record_ids", ",").alias("ids"))
 
 
+@over_trail("alert_order", alert_sql(ALL_RULES) + f", listed AS (SELECT unnest([{', '.join(repr(r.rule_id) for r in RULES)}]) AS rule_id, unnest(range({len(RULES)})) AS nth) SELECT rule_id, row_number() OVER (ORDER BY severity_rank DESC, nth)::INTEGER AS place FROM alerts JOIN listed USING (rule_id)")
+def _(t):
+    return ranked(detect.run(t, stretch=STRETCH), 100, F.desc("severity_rank"), F.col("ordinal")).select("rule_id", "place")
+
+
 @over_trail("alerts_in_range", alert_sql(ALL_RULES, f"ts_ms BETWEEN {EARLY} AND {LATE}") + " SELECT alerts.*, ids FROM alerts JOIN sampled USING (rule_id)")
 def _(t):
     return detect.run(t, stretch=STRETCH, start=EARLY, end=LATE).select(*ALERT, F.array_join("matching_record_ids", ",").alias("ids"))
@@ -539,6 +558,12 @@ def _(spark, sf_dir):
     return geo.list_ips(stats.ip_counts(trail(spark, sf_dir)), enriched(spark, sf_dir), "n3", "asn").select("source_ip", "events", "country_code", "asn")
 
 
+@over_places("ip_list_order", INFO + " SELECT source_ip, row_number() OVER (ORDER BY coalesce(country_code, 'ZZZ'), source_ip)::INTEGER AS place FROM (SELECT DISTINCT source_ip FROM trail WHERE source_ip IS NOT NULL) LEFT JOIN info USING (source_ip) QUALIFY place <= 200")
+def _(spark, sf_dir):
+    listed = geo.list_ips(stats.ip_counts(trail(spark, sf_dir)), enriched(spark, sf_dir), order="country")
+    return ranked(listed, 200, F.coalesce("country_code", F.lit("ZZZ")), F.col("source_ip")).select("source_ip", "place")
+
+
 @over_places("ip_list_without_places", "SELECT source_ip, count(*) AS events FROM trail WHERE source_ip IS NOT NULL GROUP BY 1")
 def _(spark, sf_dir):
     return geo.list_ips(stats.ip_counts(trail(spark, sf_dir)), None)

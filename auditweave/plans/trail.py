@@ -31,7 +31,9 @@ PAYLOADS = [
 FITTING = {
     "CreateAccessKey": '{"userName":"someone"}', "CreatePolicyVersion": '{"setAsDefault":true}', "AssumeRole": '{"roleArn":"arn:aws:iam::999999999999:role/guest"}',
     "UpdateTrail": '{"name":"t","s3BucketName":"elsewhere"}', "SetTopicAttributes": '{"attributeName":"KmsMasterKeyId","attributeValue":""}',
-    "SetQueueAttributes": '{"attributes":{"KmsMasterKeyId":""}}', "ModifyInstanceMetadataOptions": '{"instanceId":"i1","httpTokens":"optional"}',
+    "SetQueueAttributes": '{"attributes":{"KmsMasterKeyId":""}}', "ModifySubnetAttribute": '{"subnetId":"s1","mapPublicIpOnLaunch":{"value":true}}', "ModifyDBCluster": '{"dbCluster":"d1","masterUserPassword":"new"}',
+    "CreateLaunchTemplate": '{"name":"l1","userData":"run"}', "ModifyImageAttribute": '{"imageId":"i2","launchPermission":{"add":["all"]}}',
+    "ModifyInstanceMetadataOptions": '{"instanceId":"i1","httpTokens":"optional"}',
 }
 #: Those denied a role, who come within a few minutes of a day, as do busy names of one identity.
 DENIED = "(kind = 'error' AND k % 2 = 0 AND user_id % 4 = 3)"

@@ -7,10 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from auditweave.operators.custom_rules import STARTERS
+from auditweave.plans.catalogue import GEO_RULES, RULES
 from auditweave.plans.queries import ORACLE_SQL, QUERIES
 
-DATA = "/root/testdata/sf0.001"
-needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+#: Some payloads and bursts come in the larger table only.
+DATA = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+needs_data = pytest.mark.skipif(not all(map(os.path.isdir, DATA)), reason="no test data here")
 
 
 def plain(frame: pd.DataFrame) -> list:
@@ -24,16 +27,28 @@ def plain(frame: pd.DataFrame) -> list:
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for name in ("events", "nation"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
-    return con
+    out = {}
+    for folder in DATA:
+        out[folder] = duckdb.connect()
+        for name in ("events", "nation"):
+            out[folder].execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return out
 
 
 @needs_data
+@pytest.mark.parametrize("folder", DATA)
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_query_agrees_with_sql(spark, duck, name):
-    assert plain(QUERIES[name](spark, DATA).toPandas()) == plain(duck.execute(ORACLE_SQL[name]).df())
+def test_query_agrees_with_sql(spark, duck, name, folder):
+    assert plain(QUERIES[name](spark, folder).toPandas()) == plain(duck[folder].execute(ORACLE_SQL[name]).df())
+
+
+@needs_data
+def test_every_rule_fires(spark, duck):
+    """In the trail of the larger table, so that the comparisons show something of each."""
+    con, fired = duck[DATA[1]], set()
+    for name in ("rule_events", "rule_bursts", "rule_geo_events", "custom_rule_events"):
+        fired |= {row[0] for row in con.execute(f"SELECT DISTINCT rule_id FROM ({ORACLE_SQL[name]})").fetchall()}
+    assert fired == {r.rule_id for r in RULES + GEO_RULES} | {r["id"] for r in STARTERS}
 
 
 @needs_data
