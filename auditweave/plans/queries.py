@@ -99,6 +99,14 @@ def _(t):
     return search.page(search.search(t, "eventName=GetObject"), 2, 50).selectExpr(*ROW.split(", "))
 
 
+@over_trail("page_of_days", f"SELECT {ROW} FROM trail ORDER BY ts_ms, record_id LIMIT 100 OFFSET 700")
+def _(t):
+    """A page of the table partitioned by event date, of which only the days that hold it are sorted."""
+    path = f"{shared_folder(t.sparkSession)}/table-{uuid.uuid4().hex}"
+    export.write_table(t, path)
+    return search.page_of_days(t.sparkSession.read.parquet(path), 7, 100).selectExpr(*ROW.split(", "))
+
+
 @over_trail("page_by_key", f"SELECT {ROW} FROM trail WHERE (ts_ms, record_id) > ({LATE}, 0) ORDER BY ts_ms, record_id LIMIT 100")
 def _(t):
     return search.page_after(t, LATE, 0).selectExpr(*ROW.split(", "))

@@ -35,9 +35,12 @@ def duck():
     return out
 
 
+#: Queries that meet rare payloads, or bursts and rules that the smaller table lacks.
+LARGER = [name for name in sorted(ORACLE_SQL) if name.startswith(("ingest_", "export_json", "rule_", "custom_", "alert_texts", "alerts_of_everything"))]
+
+
 @needs_data
-@pytest.mark.parametrize("folder", DATA)
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+@pytest.mark.parametrize(("name", "folder"), [(name, DATA[0]) for name in sorted(ORACLE_SQL)] + [(name, DATA[1]) for name in LARGER])
 def test_query_agrees_with_sql(spark, duck, name, folder):
     assert plain(QUERIES[name](spark, folder).toPandas()) == plain(duck[folder].execute(ORACLE_SQL[name]).df())
 

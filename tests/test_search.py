@@ -6,6 +6,7 @@ import pytest
 
 from auditweave.operators import search
 from auditweave.operators.search import FieldTest as Is
+from auditweave.sources import export
 from tests.audit import event, table
 
 NOW = 1_700_000_000_000
@@ -103,3 +104,19 @@ def test_case_is_folded_in_ascii_only(spark):
     rows = spark.createDataFrame([(1, "\u00c9TOILE"), (2, "\u00e9toile"), (3, "Etoile")], "record_id long, user_name string")
     found = {text: sorted(r.record_id for r in rows.where(search.predicate(search.parse(text))).collect()) for text in ("userName=*TOI*", "userName=\u00c9to*", "userName=*ILE")}
     assert found == {"userName=*TOI*": [1, 2, 3], "userName=\u00c9to*": [1], "userName=*ILE": [1, 2, 3]}
+
+
+def test_a_page_sorts_only_the_days_that_hold_it(spark, tmp_path):
+    rows = [event(k, minute=(k * 37 % 101) * 97) for k in range(101)]  # a week
+    events = table(spark, rows)
+    export.write_table(events, f"{tmp_path}/table")
+    dated = spark.read.parquet(f"{tmp_path}/table")
+    for number in (0, 3, 10, 11):
+        want = [r.record_id for r in search.page(events, number, 10).collect()]
+        for source in (events, dated):
+            assert [r.record_id for r in search.page_of_days(source, number, 10).collect()] == want
+    third = search.page_of_days(dated, 3, 10)
+    assert dated.select("event_date").distinct().count() >= 7 and third.select("event_date").distinct().count() <= 2
+    plan = third._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and ">= 2023-" in plan and "<= 2023-" in plan
+    assert search.page_of_days(events.limit(0)).count() == 0
