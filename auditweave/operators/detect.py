@@ -179,7 +179,8 @@ def assemble(found: DataFrame, rules: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def metadata(found: DataFrame, events: DataFrame, rules: list[Rule], custom: list[dict] | None = None) -> DataFrame:
     """(rule_id, metadata): the further facts of each alert as a map of texts; alerts of the user rules
-    ``custom`` say that they are custom. Offenders are named up to SAMPLE, and counted in ``offenders``."""
+    ``custom`` say that they are custom. Offenders are named up to SAMPLE; where
+    there are more, ``offenders`` counts them."""
     facts = {name: [r.rule_id for r in rules if name in r.facts] for name in ("count", "offending_ips", "threshold", "identities", "total_bytes_out", "object_count", "total_run_instances")}
     keys = summaries(found.where("key <> ''")).select("rule_id", F.array_join("offenders", ", ").alias("keys"))
     often = found.where("key <> ''").select("rule_id", "key").distinct().groupBy("rule_id").agg(F.count("*").alias("n_keys"))
@@ -193,7 +194,8 @@ def metadata(found: DataFrame, events: DataFrame, rules: list[Rule], custom: lis
         "object_count": F.col("n"), "total_run_instances": F.col("started"), "threshold": F.lit(limits.get("IA-04", 0)),
     }
     entries = [F.when(F.col("rule_id").isin(ids), F.struct(F.lit(name).alias("k"), values[name].cast("string").alias("v"))) for name, ids in facts.items()]
-    entries.append(F.when(F.col("n_keys").isNotNull(), F.struct(F.lit("offenders").alias("k"), F.col("n_keys").cast("string").alias("v"))))
+    naming = facts["offending_ips"] + facts["identities"]
+    entries.append(F.when(F.col("rule_id").isin(naming) & (F.col("n_keys") > SAMPLE), F.struct(F.lit("offenders").alias("k"), F.col("n_keys").cast("string").alias("v"))))
     if custom:
         entries.append(F.when(F.col("rule_id").isin([rule["id"] for rule in custom]), F.struct(F.lit("source").alias("k"), F.lit("custom").alias("v"))))
     return rows.select("rule_id", F.map_from_entries(F.array_compact(F.array(*entries))).alias("metadata"))

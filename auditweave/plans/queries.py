@@ -446,7 +446,7 @@ METADATA = READS + f""", ae AS ({ALL_RULES}),
 keyed AS (SELECT rule_id, record_id, CASE rule_id WHEN 'IA-04' THEN source_ip WHEN 'DI-03' THEN coalesce(user_arn, user_name, source_ip, 'unknown') ELSE actor END AS key FROM ae JOIN trail USING (record_id))
 SELECT rule_id, 'count' AS name, CAST(count(*) AS VARCHAR) AS value FROM ae WHERE rule_id IN ('IA-03', 'PE-01', 'DE-01', 'DI-02') GROUP BY 1
 UNION ALL SELECT rule_id, CASE rule_id WHEN 'IA-04' THEN 'offending_ips' ELSE 'identities' END, string_agg(key, ', ' ORDER BY key) FROM (SELECT rule_id, key FROM keyed WHERE rule_id IN ({KEYED}) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY key) <= 100) WHERE rule_id <> 'CA-02' GROUP BY 1
-UNION ALL SELECT rule_id, 'offenders', CAST(count(DISTINCT key) AS VARCHAR) FROM keyed WHERE rule_id IN ({KEYED}) GROUP BY 1
+UNION ALL SELECT rule_id, 'offenders', CAST(count(DISTINCT key) AS VARCHAR) FROM keyed WHERE rule_id IN ({KEYED}) AND rule_id <> 'CA-02' GROUP BY 1 HAVING count(DISTINCT key) > 100
 UNION ALL SELECT DISTINCT rule_id, 'threshold', '5' FROM ae WHERE rule_id = 'IA-04'
 UNION ALL SELECT rule_id, 'object_count', CAST(count(*) AS VARCHAR) FROM ae WHERE rule_id = 'EX-03' GROUP BY 1
 UNION ALL SELECT rule_id, 'total_bytes_out', CAST(sum(bytes_out) AS VARCHAR) FROM ae JOIN reads USING (record_id) WHERE rule_id = 'EX-03' GROUP BY 1
