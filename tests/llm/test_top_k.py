@@ -82,3 +82,39 @@ def test_every_number_of_strides_and_size_of_number_is_exact():
                 bar = sorted(exact[i])[-10]
                 assert set(place.tolist()) == {n for n, s in enumerate(exact[i]) if s >= bar}
                 assert [int(s) for s in score] == [exact[i][n] for n in place]
+
+
+def exact_best(q, x, ids, k):
+    score = x @ q
+    order = np.lexsort((ids, -score))[:k]
+    return ids[order].tolist(), score[order].astype(int).tolist()
+
+
+def test_a_team_carries_bounds_and_reads_less():
+    rng = np.random.default_rng(9)
+    x, q = np.floor(rng.normal(size=(4000, 32)) * 8), np.floor(rng.normal(size=(40, 32)) * 8)
+    ids, q_ids = np.arange(1, 4001), -np.arange(1, 41)
+    team = [(ids[k::4], top_k.Lists(x[k::4])) for k in range(4)]
+    found, read = top_k.search_team(q_ids, q, team, 10)
+    for i, (at, scores) in enumerate(found):
+        assert (at.tolist(), scores.tolist()) == exact_best(q[i], x, ids, 10)
+    alone = sum(int(lists.search(q, np.full(40, -1), 10)[1].sum()) for _, lists in team)
+    assert read < 0.8 * alone <= 0.8 * 40 * 4000
+
+
+def test_entries_read_where_few_stand_out():
+    rng = np.random.default_rng(10)
+    x = np.floor(rng.normal(size=(4000, 6)) * 4)
+    x[:40] += 400
+    q = np.abs(np.floor(rng.normal(size=(7, 6)) * 64)) + 50
+    assert (top_k.Lists(x).search(q, np.full(7, -1), 10)[1] <= 250).all()
+
+
+@pytest.mark.parametrize("block", [16, 40])
+def test_teams_of_blocks_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(top_k, "LEAST", 1)
+    vectors = [*vectors_of(11, 900), (20, [9.0, 1.0]), (40, [1.0] * 12)]
+    vectors = [(k, v) for k, v in vectors if len(v) != 8 or k not in (20, 40)]
+    padded = [(k, v + [0.0] * (12 - len(v))) for k, v in vectors]
+    found = top_k.top_k(frame(spark, vectors), block=block, asked=7)
+    assert sorted(map(tuple, found.collect())) == brute(padded)
