@@ -13,48 +13,73 @@ from auditweave.functions.staging import staged
 
 GAP_MS, DAY_MS = 1_800_000, 86_400_000
 KEY = ["identity", "ip"]
+LAYOUT = [*KEY, "session_day"]
 
 
-def session_events(events: DataFrame, gap_ms: int = GAP_MS, bucket_ms: int = DAY_MS) -> DataFrame:
-    """``events`` with identity, ip and session_start (the ts_ms and record_id of the session's first event).
-    A gap of exactly ``gap_ms`` stays in the session."""
-    keyed = events.withColumn("identity", identity()).withColumn("ip", F.coalesce("source_ip", F.lit(UNKNOWN)))
-    dealt = keyed.withColumn("__day", F.floor(F.col("ts_ms") / bucket_ms))
-    day = Window.partitionBy(*KEY, "__day").orderBy("ts_ms", "record_id")
-    days = Window.partitionBy(*KEY).orderBy("__day")
-    last = dealt.groupBy(*KEY, "__day").agg(F.max("ts_ms").alias("__last"))
+def keyed(events: DataFrame, bucket_ms: int = DAY_MS) -> DataFrame:
+    """``events`` with identity, ip and session_day, by which sessions are found."""
+    who = events.withColumn("identity", identity()).withColumn("ip", F.coalesce("source_ip", F.lit(UNKNOWN)))
+    return who.withColumn("session_day", F.floor(F.col("ts_ms") / bucket_ms))
+
+
+def marked(dealt: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """keyed() events with session_start, the ts_ms and record_id of the session's first event.
+
+    Uses its input three times, each time by key and day: read from a table in buckets of these, it is not shuffled."""
+    day = Window.partitionBy(*LAYOUT).orderBy("ts_ms", "record_id")
+    days = Window.partitionBy(*KEY).orderBy("session_day")
+    last = dealt.groupBy(*LAYOUT).agg(F.max("ts_ms").alias("__last"))
     prior = last.withColumn("__prior", F.lag("__last").over(days)).drop("__last")
     previous = F.coalesce(F.lag("ts_ms").over(day), F.col("__prior"))
     fresh = previous.isNull() | (F.col("ts_ms") - previous > gap_ms)
-    started = dealt.join(prior, [*KEY, "__day"]).withColumn("__start", F.when(fresh, F.struct("ts_ms", "record_id")))
+    started = dealt.join(prior, LAYOUT).withColumn("__start", F.when(fresh, F.struct("ts_ms", "record_id")))
     here = F.last("__start", ignorenulls=True).over(day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carried = started.groupBy(*KEY, "__day").agg(F.max("__start").alias("__s"))
+    carried = started.groupBy(*LAYOUT).agg(F.max("__start").alias("__s"))
     before = F.last("__s", ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1))
     carry = carried.withColumn("__carry", before).drop("__s")
-    found = started.withColumn("__here", here).join(carry, [*KEY, "__day"])
-    return found.withColumn("session_start", F.coalesce("__here", "__carry")).drop("__day", "__prior", "__start", "__here", "__carry")
+    found = started.withColumn("__here", here).join(carry, LAYOUT)
+    return found.withColumn("session_start", F.coalesce("__here", "__carry")).drop("__prior", "__start", "__here", "__carry")
 
 
-def sessions(marked: DataFrame) -> DataFrame:
-    """One row a session of session_events(): id, first, last, duration, counts, names and regions as first seen.
+def session_events(events: DataFrame, gap_ms: int = GAP_MS, bucket_ms: int = DAY_MS) -> DataFrame:
+    """``events`` with identity, ip and session_start (the ts_ms and record_id of the session's first event).
+    A gap of exactly ``gap_ms`` stays in the session."""
+    return marked(keyed(events, bucket_ms), gap_ms).drop("session_day")
 
-    Names and regions come from their first occurrences, so no list grows with the events of a session."""
-    key = [*KEY, "session_start"]
-    facts = marked.groupBy(*key).agg(
+
+def facts(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.groupBy(*key).agg(
         F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("events"), F.count("error_code").alias("errors")
     )
+
+
+def first_seen(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, what, x, at): where each name and region of a key comes first."""
     pairs = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("x")) for c in ("event_name", "aws_region")])
-    seen = marked.select(*key, "ts_ms", "record_id", F.explode(pairs).alias("p")).groupBy(*key, "p.what", "p.x").agg(F.min(F.struct("ts_ms", "record_id")).alias("at"))
+    each = rows.select(*key, "ts_ms", "record_id", F.explode(pairs).alias("p"))
+    return each.groupBy(*key, "p.what", "p.x").agg(F.min(F.struct("ts_ms", "record_id")).alias("at"))
+
+
+def shaped(facts: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows a session from its facts and first_seen()."""
+    key = [*KEY, "session_start"]
 
     def listed(what: str):
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("at", "x")))), lambda p: p["x"])
 
-    lists = seen.groupBy(*key).agg(listed("event_name").alias("names"), listed("aws_region").alias("regions"))
-    named = facts.join(lists, key)
+    named = facts.join(seen.groupBy(*key).agg(listed("event_name").alias("names"), listed("aws_region").alias("regions")), key)
     session_id = F.sha2(F.concat_ws("|", "identity", "ip", F.col("session_start.ts_ms").cast("string"), F.col("session_start.record_id").cast("string")), 256)
     return named.select(session_id.alias("session_id"), *key, "first_ms", "last_ms", (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"), "events", "errors", "names", "regions")
 
 
+def sessions(marked: DataFrame) -> DataFrame:
+    """One row a session of session_events(): id, first, last, duration, counts, names and regions as first seen.
+
+    Names and regions come from their first occurrences, so no list grows with the events of a session."""
+    key = [*KEY, "session_start"]
+    return shaped(facts(marked, key), first_seen(marked, key))
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Sessions numbered from 0 in order of their first event: ranges of that order are numbered apart, and the
     counts of the ranges before, a row a range, are added."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from auditweave.functions import columns
 from auditweave.functions.staging import shared_folder
-from auditweave.operators import bursts, correlate, custom_rules, detect, geo, objects, search, sessions, stats
+from auditweave.operators import bursts, correlate, custom_rules, detect, geo, objects, search, session_store, sessions, stats
 from auditweave.plans.catalogue import DUCKDB, GEO_RULES, RULES, SEVERITIES, predicate
 from auditweave.plans.trail import TRAIL, trail
 from auditweave.schema import FACETS, FIELDS
@@ -520,6 +520,27 @@ def _(t):
     return correlate.sessions_of_alert(sessions.sessions(marked), marked, detect.alert_events(t, [r for r in RULES if not r.burst]), "IA-01").select(*session_columns())
 
 
+def stored(t: DataFrame) -> session_store.Store:
+    return session_store.Store(t, f"trail_{uuid.uuid4().hex}")
+
+
+@over_trail("stored_sessions", MARKED + """, a AS (SELECT identity, ip, first_id, event_name AS x, min((ts_ms, record_id)) AS occ FROM marked GROUP BY ALL)
+SELECT * FROM found JOIN (SELECT identity, ip, first_id, string_agg(x, ',' ORDER BY occ) AS names FROM a GROUP BY ALL) USING (identity, ip, first_id)""")
+def _(t):
+    return stored(t).sessions().select(*session_columns(), F.array_join("names", ",").alias("names"))
+
+
+@over_trail("stored_session_events", MARKED + f""" SELECT record_id, first_id, min(ts_ms) OVER w AS day_first_ms, max(ts_ms) OVER w AS day_last_ms, count(*) OVER w AS day_events, count(error_code) OVER w AS day_errors
+FROM marked WINDOW w AS (PARTITION BY identity, ip, first_id, ts_ms // {DAY})""")
+def _(t):
+    return stored(t).events().select("record_id", first_id(), "day_first_ms", "day_last_ms", "day_events", "day_errors")
+
+
+@over_trail("stored_session_alerts", MARKED + f", ae AS ({plain_sql()}) SELECT identity, ip, first_id, rule_id, count(DISTINCT ae.record_id) AS events FROM ae JOIN marked USING (record_id) GROUP BY ALL")
+def _(t):
+    return stored(t).alerts_of_sessions().select("identity", "ip", first_id(), "rule_id", "events")
+
+
 # --- addresses ----------------------------------------------------------------------------------------
 
 IPV4 = "(198 * CAST(16777216 AS BIGINT) + 51 * 65536 + {third} * 256 + {fourth})"

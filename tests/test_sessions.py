@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
+from itertools import pairwise
 
-from auditweave.operators import correlate, detect, sessions
+import pytest
+
+from auditweave.operators import correlate, detect, session_store, sessions
 from auditweave.plans.catalogue import RULES
 from tests.audit import event, table
 
@@ -54,3 +58,56 @@ def test_correlation(spark):
     touching = {(r.rule_id, r.events) for r in correlate.alerts_of_session(marked, found).collect()}
     assert touching == {("DE-01", 2), ("PE-01", 1)}
     assert correlate.sessions_of_alert(sessions.sessions(marked), marked, found, "DE-01").count() == 1
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def rows_of(frame):
+    return sorted(map(str, frame.collect()))
+
+
+def shuffles(frame) -> int:
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def days_of_events(spark, n: int):
+    """Events of few identities over days, one session of them longer than two days."""
+    rng = random.Random(5)
+    rows = [event(k, rng.choice(["StopLogging", "CreateUser", "A"]), minute=rng.randrange(0, 12_000), user_arn=rng.choice([None, "x", "y"]), source_ip=rng.choice([None, "198.51.100.1"]), error_code=rng.choice([None, "E"])) for k in range(n)]
+    return table(spark, rows + [event(n + k, "DeleteTrail", minute=20 * k, user_arn="long", request_parameters=None) for k in range(150)])
+
+
+def test_stored_sessions_equal_those_of_events(spark):
+    events = days_of_events(spark, 600)
+    store = session_store.Store(events, "kept", 3)
+    marked = sessions.session_events(events)
+    found = sessions.sessions(marked)
+    assert rows_of(store.sessions().select(*found.columns)) == rows_of(found)
+    assert max(r.duration_ms for r in found.collect()) > 2 * sessions.DAY_MS
+    plain = [r for r in RULES if not r.burst]
+    alerts = correlate.alerts_of_session(marked, detect.alert_events(events, plain))
+    assert rows_of(store.alerts_of_sessions().select(*alerts.columns)) == rows_of(alerts)
+    assert store.events().count() == 750 and store.events().agg({"day_events": "max"}).first()[0] == 72
+    store.drop()
+    none = session_store.Store(events.limit(0), "empty", 2)
+    assert none.sessions().count() == none.events().count() == none.alerts_of_sessions().count() == 0
+    none.drop()
+
+
+def test_stored_sessions_shuffle_no_events(spark, no_broadcast):
+    """Marks, parts, the rules in them and the joins among these need no exchange; sessions one of parts."""
+    store = session_store.Store(days_of_events(spark, 50), "laid", 3)
+    for frame in (sessions.facts(store.marks, session_store.PART), store.events(), store.alert_parts()):
+        assert shuffles(frame) == 0
+    # Finding the marks moves a row a key and day only: to its key, and back to its day.
+    lines = sessions.marked(store.dealt)._jdf.queryExecution().executedPlan().toString().split("\n")
+    moved = [below for line, below in pairwise(lines) if "Exchange " in line]
+    assert moved and all("Aggregate(" in below or re.search(r"Project \[identity#\d+, ip#\d+, session_day#\d+L, __(prior|carry)#\d+L?\]", below) for below in moved)
+    assert shuffles(store.sessions()) <= 4  # parts and first occurrences by session, then their join
+    store.drop()
