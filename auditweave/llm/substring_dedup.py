@@ -12,7 +12,7 @@ the exact grouping; results stay the same."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -119,13 +119,17 @@ def unpack_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (highs.astype(np.uint64) << U(8 * size)) | lows.astype(np.uint64), counts
 
 
-def add_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct cells of all parts and the sums of their counts."""
-    cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(cells, kind="stable")
-    cells = cells[order]
-    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-    return cells[first], np.add.reduceat(counts[order], first)
+def add_counts(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of a slice's parts, one after the other, and the sums of their counts, which stop at 2 ** 32 - 1.
+
+    A slice has one array of counters, 32 MB, however many parts and cells come."""
+    held = np.zeros(1 << SLICE_BITS, np.uint32)
+    most = np.iinfo(np.uint32).max
+    for cells, counts in parts:
+        at = cells.astype(np.int64)  # distinct within a part
+        held[at] = np.minimum(held[at].astype(np.int64) + counts, most)
+    found = np.flatnonzero(held)
+    return found.astype(np.uint64), held[found].astype(np.int64)
 
 
 class Sizes:
@@ -189,7 +193,7 @@ def filters(texts: DataFrame, sizes: Sizes, width: int) -> np.ndarray:
     gets ROWS * SEGMENTS rows, of ROWS * MAX_FILTER_BITS in all."""
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        cells, counts = add_counts([unpack_cells(data) for data in group.column("cells").to_pylist()])
+        cells, counts = add_counts(unpack_cells(data.as_py()) for data in group.column("cells"))
         cells = cells[counts >= 2] + (U(key[1].as_py()) << U(SLICE_BITS))
         segment = sizes.segments(cells)
         out: list[tuple[int, int, bytes]] = []
