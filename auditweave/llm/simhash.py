@@ -130,7 +130,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot: int =
     return ordered.mapInArrow(lambda batches: cell_links(batches, radius), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that links reach.
 
     Alternates large-star and small-star steps, which only ever hang nodes under smaller ones, until the
@@ -140,7 +140,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return pairs.groupBy("a").agg(F.min("b").alias("low"))
 
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = smallest(both).select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -152,8 +152,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = after
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
