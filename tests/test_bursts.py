@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -50,3 +51,25 @@ def test_only_the_first_of_two_bursts_and_ties(spark):
     found = {r.record_id for r in bursts.first_bursts(spark.createDataFrame(rows, SCHEMA), 3, 5, ["key"]).collect()}
     assert found == {0, 1, 2}
     assert {r.record_id for r in bursts.all_bursts(spark.createDataFrame(rows, SCHEMA), 3, 5).collect()} == {0, 1, 2, 3, 10, 11, 12, 13}
+
+
+def test_a_busy_window_comes_to_no_single_task(spark):
+    """As many events in a window as would take minutes if each were compared with the later ones of its window."""
+    events = spark.range(200_000).selectExpr("'a' AS key", "id % 1000 AS ts_ms", "id AS record_id")
+    began = time.time()
+    assert bursts.all_bursts(events, 6, 10_000_000).count() == 200_000
+    assert {r.record_id for r in bursts.first_bursts(events, 6, 10_000_000, ["key"]).collect()} == {1000 * k for k in range(6)}
+    assert time.time() - began < 60
+    assert bursts.edges(events, 6, 10_000_000, ["key"]).count() == 11
+    assert "WindowGroupLimit" in bursts.edges(events, 6, 10_000_000, ["key"])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bursts_at_the_seams_of_buckets(spark, seed):
+    rng = random.Random(100 + seed)
+    n, window = rng.randrange(2, 6), 10
+    rows = [("a", 10 * rng.randrange(-3, 12) + rng.choice([-2, -1, 0, 1, 2]), k) for k in range(60)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.key, r.record_id) for r in bursts.first_bursts(events, n, window, ["key"]).collect()} == brute_first(rows, n, window)
+    found = [r.record_id for r in bursts.all_bursts(events, n, window).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_all(rows, n, window)
