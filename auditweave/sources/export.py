@@ -46,8 +46,8 @@ def write_csv(events: DataFrame, path: str) -> int:
     return counted(csv_rows(events), lambda rows: rows.write.options(**options).csv(path))
 
 
-def full_json(events: DataFrame) -> DataFrame:
-    """(ts_ms, record_id, line): each event as one JSON object under delivered names; payloads come last, with the
+def full_json(events: DataFrame, *keep: str) -> DataFrame:
+    """(ts_ms, record_id, keep..., line): each event as one JSON object under delivered names; payloads come last, with the
     text that they were delivered with (line breaks between their members as spaces). Nulls are left out, as are
     payloads that are not JSON."""
     identity = {name: path.split(".")[1] for name, path in PATHS.items() if path.startswith("userIdentity.") and name != "session_context"}
@@ -66,7 +66,7 @@ def full_json(events: DataFrame) -> DataFrame:
 
     who = F.concat(F.lit('"userIdentity":{'), F.concat_ws(",", inside(*[F.col(name).alias(short) for name, short in identity.items()]), verbatim("session_context", "sessionContext")), F.lit("}"))
     line = F.concat(F.lit("{"), F.concat_ws(",", inside(*plain, resources.alias("resources")), who, *[verbatim(name, PATHS[name]) for name in PAYLOADS]), F.lit("}"))
-    return events.select("ts_ms", "record_id", line.alias("line"))
+    return events.select("ts_ms", "record_id", *keep, line.alias("line"))
 
 
 def write_json(events: DataFrame, path: str) -> int:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditweave.operators import detect, objects, stats
+from auditweave.plans import queries
 from auditweave.sources import archives, export, ingest
 from auditweave.streaming import live
 from tests.audit import event, table
@@ -337,3 +338,31 @@ def test_a_lookup_event_without_its_record_rejects_the_unit(spark, tmp_path):
     events, warnings = ingest.load(ingest.find_files(spark, str(tmp_path)))
     assert [r.path.rsplit("/", 1)[1] for r in events.collect()] == ["good.json"]
     assert sorted((r.path.rsplit("/", 1)[1], r.error) for r in warnings.collect()) == [("bad.json", ingest.UNFIT), ("null.json", ingest.UNFIT)]
+
+
+def test_files_in_parts(spark):
+    """Parts are joined in order, by file, and what does not fit is rejected as with whole files; no row holds a file."""
+    records = [json.dumps(RECORD | {"requestID": f"r{k}"}) for k in range(500)]
+    good = ['{"Records":[' + records[0], *["," + r for r in records[1:]], "]}"]
+    bad = ['{"Records":[{"eventName":1}]', ',"Events":[' + json.dumps({"CloudTrailEvent": records[0]}), "]}"]
+    torn = ['{"Records":[', records[0]]
+    rows = [(path, k, text) for path, parts in (("a", good), ("b", bad), ("c", torn)) for k, text in enumerate(parts)]
+    parts = spark.createDataFrame(sorted(rows, key=lambda r: r[2]), "path string, k int, text string")
+    loaded = ingest.load(None, ingest.decode_parts(parts, "k"))
+    assert {r.path: r.records for r in loaded.report.collect()} == {"a": 500, "b": 1}
+    assert [(r.path, r.error) for r in loaded.warnings.collect()] == [("c", "json: not a JSON document")]
+    assert [r.request_id for r in loaded.events.where("path = 'a'").select("request_id", "record_id").collect() if r.request_id == "r499"] == ["r499"]
+
+    busy = table(spark, [event(k, "StopLogging", minute=0, rp={"pad": "x" * 1000}) for k in range(300)])
+    for made in (queries.in_parts(export.full_json(busy), F.lit("one"), F.col("line")), queries.in_parts(export.full_json(busy), F.lit("one"), F.col("line"), "Events")):
+        assert made.agg(F.max(F.length("text"))).first()[0] < 3000
+        assert len(json.loads("".join(r.text for r in made.orderBy("ts_ms", "record_id").collect()))) == 1
+
+
+def test_written_files_keep_the_order_of_their_parts(spark, tmp_path):
+    events = table(spark, [event(k, minute=k % 7 * 60 + k / 1000) for k in range(2000)])
+    parts = queries.in_parts(export.full_json(events), F.expr("ts_ms div 3600000"), F.col("line"))
+    queries.written(parts, str(tmp_path / "out"), "path")
+    files = list((tmp_path / "out").rglob("part-*"))
+    assert len(files) == parts.select("path").distinct().count()
+    assert sum(len(json.loads(gzip.decompress(f.read_bytes()))["Records"]) for f in files) == 2000
