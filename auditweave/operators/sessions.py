@@ -5,7 +5,7 @@ A key may hold a third of all events, so the order within a key is found day by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.functions.columns import UNKNOWN, identity
@@ -60,6 +60,16 @@ def first_seen(rows: DataFrame, key: list[str]) -> DataFrame:
     return each.groupBy(*key, "p.what", "p.x").agg(F.min(F.struct("ts_ms", "record_id")).alias("at"))
 
 
+def session_id() -> Column:
+    return F.sha2(F.concat_ws("|", "identity", "ip", F.col("session_start.ts_ms").cast("string"), F.col("session_start.record_id").cast("string")), 256).alias("session_id")
+
+
+def bounds(marked: DataFrame) -> DataFrame:
+    """(session_id, identity, ip, session_start, first_ms, last_ms, events, errors): sessions() without what takes a second
+    pass."""
+    return facts(marked, [*KEY, "session_start"]).withColumn("session_id", session_id())
+
+
 def shaped(facts: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows a session from its facts and first_seen()."""
     key = [*KEY, "session_start"]
@@ -68,8 +78,7 @@ def shaped(facts: DataFrame, seen: DataFrame) -> DataFrame:
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("at", "x")))), lambda p: p["x"])
 
     named = facts.join(seen.groupBy(*key).agg(listed("event_name").alias("names"), listed("aws_region").alias("regions")), key)
-    session_id = F.sha2(F.concat_ws("|", "identity", "ip", F.col("session_start.ts_ms").cast("string"), F.col("session_start.record_id").cast("string")), 256)
-    return named.select(session_id.alias("session_id"), *key, "first_ms", "last_ms", (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"), "events", "errors", "names", "regions")
+    return named.select(session_id(), *key, "first_ms", "last_ms", (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"), "events", "errors", "names", "regions")
 
 
 def sessions(marked: DataFrame) -> DataFrame:
@@ -111,9 +120,12 @@ def list_sessions(found: DataFrame, who: str = "", ip: str = "", start: int | No
 
 
 def detail(found: DataFrame, marked: DataFrame, session_id: str) -> DataFrame:
-    """The events of one session in time order, nine fields each."""
-    one = found.where(F.col("session_id") == session_id).select(*KEY, "session_start")
-    rows = marked.join(F.broadcast(one), [*KEY, "session_start"], "left_semi")  # one row
+    """The events of one session in time order, nine fields each. The session is looked up first, so that only events of its
+    identity and address are sorted and marked; the last event of each key's day is found for all."""
+    one = found.where(F.col("session_id") == session_id).select(*KEY, "session_start").first()  # one row
+    rows = marked.where(F.lit(False))
+    if one:
+        rows = marked.where((F.col("identity") == one.identity) & (F.col("ip") == one.ip) & (F.col("session_start.record_id") == one.session_start.record_id) & (F.col("session_start.ts_ms") == one.session_start.ts_ms))
     return rows.select("record_id", "ts_ms", "event_time", "event_name", "event_source", "aws_region", "source_ip", "error_code", "read_only").orderBy("ts_ms", "record_id")
 
 

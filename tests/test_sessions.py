@@ -111,3 +111,19 @@ def test_stored_sessions_shuffle_no_events(spark, no_broadcast):
     assert moved and all("Aggregate(" in below or re.search(r"Project \[identity#\d+, ip#\d+, session_day#\d+L, __(prior|carry)#\d+L?\]", below) for below in moved)
     assert shuffles(store.sessions()) <= 4  # parts and first occurrences by session, then their join
     store.drop()
+
+
+def test_detail_marks_only_the_events_of_its_key(spark, tmp_path):
+    """The conditions on identity and address reach the scans whose events are marked."""
+    rows = [event(k, minute=k % 20, source_ip=f"198.51.100.{k % 3}") for k in range(60)]
+    table(spark, rows).write.parquet(str(tmp_path / "events"))
+    marked = sessions.session_events(spark.read.parquet(str(tmp_path / "events")))
+    found = sessions.bounds(marked)
+    assert {r.session_id for r in found.collect()} == {r.session_id for r in sessions.sessions(marked).collect()}
+    shown = sessions.detail(found, marked, found.where("ip = '198.51.100.1'").first().session_id)
+    assert {r.record_id for r in shown.collect()} == {k for k in range(60) if k % 3 == 1}
+    plan = shown._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scans = [k for k, line in enumerate(plan) if "Relation [" in line]
+    # The others give a row a key and day.
+    assert sum("Filter" in plan[k - 1] and "198.51.100.1)" in plan[k - 1] for k in scans) == 2 == len(scans) - 2
+    assert sessions.detail(found, marked, "none").count() == 0
