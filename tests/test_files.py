@@ -3,10 +3,12 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import random
 import zipfile
 from functools import partial
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditweave.operators import detect, objects, stats
@@ -359,6 +361,19 @@ def test_files_in_parts(spark):
         assert len(json.loads("".join(r.text for r in made.orderBy("ts_ms", "record_id").collect()))) == 1
 
 
+def test_parts_meet_whatever_spark_merges(spark):
+    """Both sides of a union are dealt by path already, and only the partitions of the small one are merged."""
+    record, order = json.dumps(RECORD), Window.partitionBy("path").orderBy("k")
+    sides = [
+        [(f"{k}", 0, '{"Events":[' + json.dumps({"CloudTrailEvent": record}) + "],") for k in range(40)],
+        [(f"{k}", 1, f'"Other":"{random.Random(k).randbytes(100_000).hex()}","Records":[{record},{record}]}}') for k in range(40)],
+    ]
+    dealt = [spark.createDataFrame(rows, "path string, k int, text string").withColumn("k", F.col("k") + F.row_number().over(order)) for rows in sides]
+    loaded = ingest.load(None, ingest.decode_parts(dealt[0].unionByName(dealt[1]), "k"))
+    assert loaded.warnings.count() == 0
+    assert {r.path: r.records for r in loaded.report.collect()} == {f"{k}": 2 for k in range(40)}
+
+
 def test_written_files_keep_the_order_of_their_parts(spark, tmp_path):
     events = table(spark, [event(k, minute=k % 7 * 60 + k / 1000) for k in range(2000)])
     parts = queries.in_parts(export.full_json(events), F.expr("ts_ms div 3600000"), F.col("line"))
